@@ -83,7 +83,7 @@ def scan_token_files(files: DataFrame, end: int = bpe.END_OF_DOCUMENT, block_byt
     stitched = searched.select(
         "*",
         F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)).alias("documents_before"),
-        F.coalesce(F.max(F.element_at("found", -1)).over(before), F.lit(-1)).alias("last_before"),
+        F.coalesce(F.max(F.expr("try_element_at(found, -1)")).over(before), F.lit(-1)).alias("last_before"),
         (F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()).alias("is_last"),
     )
     stitched = stitched.select(
