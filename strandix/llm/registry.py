@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from strandix.llm import token_counts, token_files
+from strandix.llm import chat, quality, token_counts, token_files, winnow
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_quality": quality.query,
+    "op5_winnowing": winnow.query,
     "op7_token_files": token_files.query,
+    "op9_chat_repair": chat.query,
 }
 SQL: dict[str, str] = {}
