@@ -103,7 +103,8 @@ def token_counts(docs: DataFrame, tokenizer: str = bpe.TOKENIZER, block_bytes: i
     manifest = write_token_files(docs, scratch(docs.sparkSession, "tokens"), tokenizer)
     scanned = scan_token_files(manifest, block_bytes=block_bytes)
     ids = manifest.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
-    return scanned.join(ids, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # Both sides grow with the documents, and the manifest's small files hide it: never by broadcast.
+    return scanned.join(ids.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
