@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandix.llm import chat, decontaminate, mixing, quality, simhash, token_counts, token_files, winnow
+from strandix.llm import chat, decontaminate, mixing, quality, simhash, substrings, token_counts, token_files, winnow
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_quality": quality.query,
+    "op3_substrings": substrings.query,
     "op4_simhash": simhash.query,
     "op5_winnowing": winnow.query,
     "op6_mixing": mixing.query,
