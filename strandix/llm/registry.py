@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandix.llm import chat, decontaminate, mixing, quality, simhash, substrings, token_counts, token_files, winnow
+from strandix.llm import chat, decontaminate, mixing, quality, secrets, simhash, substrings, token_counts, token_files, winnow
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_token_files": token_files.query,
     "op8_decontamination": decontaminate.query,
     "op9_chat_repair": chat.query,
+    "op10_secrets": secrets.query,
 }
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op8_decontamination": decontaminate.SQL}

@@ -1,0 +1,72 @@
+import math
+import random
+import re
+from random import Random
+
+import numpy as np
+
+from strandix.llm.secrets import EXAMPLES, Automaton, learn, scan
+
+
+def plain(a, text):
+    """The likelihood by walking, a character at a time."""
+    q, total = 0, 0.0
+    for i, c in enumerate(text.encode()):
+        s = a.symbol(c, i)
+        if s > 255 and not chr(c).isalnum():
+            return -math.inf
+        total += float(a.p_char[q, s, c])
+        q = int(a.to[q, s])
+        if q == len(a.to) - 1:
+            return -math.inf
+    return (total + float(a.p_stop[q])) / max(len(text), 1)
+
+
+def test_scores_are_the_plain_walk_and_lengths_are_learned():
+    for strings in EXAMPLES(600).values():
+        a = Automaton(strings)
+        tries = [*strings[:20], strings[0] + "a", strings[0][:-1], "x" * 40, "", strings[1].replace(strings[1][-3], "!")]
+        buf = np.frombuffer("".join(tries).encode(), np.uint8)
+        ends = np.cumsum([len(t) for t in tries])
+        got = a.score(buf, ends - [len(t) for t in tries], ends)
+        assert np.allclose(got, [plain(a, t) for t in tries], equal_nan=True)
+        assert np.isfinite(got[:20]).all() and not np.isfinite(got[20:22]).any()
+
+
+def test_loops_are_inferred():
+    rng = random.Random(1)
+    strings = ["id-" + "".join(rng.choice("01") for _ in range(1 + int(rng.expovariate(0.3)))) for _ in range(3000)]
+    assert len(Automaton(strings).states) <= 8
+
+
+def test_held_out_accuracy():
+    rng = Random(77)
+    models = learn(EXAMPLES())
+    hexa, base32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    good = [("access_key", "AKIA" + pick(base32, 16)) for _ in range(300)] + [("hex_token", pick(hexa, 40)) for _ in range(300)] + [("password", "password=" + pick(hexa, 18)) for _ in range(300)]
+    bad = [pick("abcdefghijklmnopqrstuvwxyz", rng.randint(12, 40)) for _ in range(500)] + [pick("0123456789", 40) for _ in range(20)] + ["AKIA" + pick("abcdefghijklmnop", 16) for _ in range(100)]
+    scores = lambda t: {n: plain(a, t) - least for n, (a, least) in models.items()}
+    right = sum(max(s := scores(t), key=s.get) == n and s[n] >= -0.35 for n, t in good)
+    wrong = sum(max(scores(t).values()) >= -0.35 for t in bad)
+    assert right >= 0.99 * len(good) and wrong <= 0.05 * len(bad)
+
+
+def test_scan_finds_all_in_texts_and_cases(spark):
+    rng = Random(5)
+    rows, want = [], []
+    for i in range(60):
+        words = ["".join(rng.choice("thenoré ") for _ in range(rng.randint(1, 20))) for _ in range(30)]
+        for s in rng.sample(EXAMPLES(50)["access_key"] + EXAMPLES(50)["password"] + EXAMPLES(50)["hex_token"], 2):
+            words.insert(rng.randint(0, 30), rng.choice(["{}", "{}.", 'token = "{}"', "({}),"]).format(s))
+            want.append((i, s))
+        rows.append((i, " ".join(words), 0))
+    rows += [(100, None, 0), (101, "", 0), (None, "x " + want[0][1], 0), (102, "a" * 100000, 0), (0, rows[0][1], 0), (103, "password=short", 0)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string, format int").repartition(3)).collect()
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        assert texts[r.doc_id][r.first_char : r.first_char + len(r.candidate)] == r.candidate
+    found = [(r.doc_id, r.candidate) for r in got]
+    assert sorted(found, key=str) == sorted([*want, (None, want[0][1]), *[x for x in want if x[0] == 0]], key=str)
+    assert all(re.fullmatch({"access_key": r"AKIA\w{16}", "hex_token": r"[0-9a-f]{40}", "password": r"password=\w{18}"}[r.format], r.candidate) for r in got)
+    assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
