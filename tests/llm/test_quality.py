@@ -2,7 +2,7 @@ import collections
 import math
 import random
 
-from strandix.llm.quality import ORDER, classify, perplexities
+from strandix.llm.quality import ORDER, accept, classify, fit
 
 
 def kneser_ney(texts):
@@ -55,12 +55,12 @@ def test_matches_plain_model_by_either_way_and_separates(spark):
     rows, marks = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, perplexity string").repartition(3)
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    scored, trusted = perplexities(docs, labels)
+    score, trusted = fit(docs, labels)
     held = {r.doc_id: r.held_out for r in trusted.collect()}
     assert set(held) == {i for i, q, _ in marks if q} and 0 < sum(held.values()) < len(held)
     plain = kneser_ney([t for i, t, *_ in rows if held.get(i) is False])
-    one = {r.doc_id: r.perplexity for r in scored.collect()}
-    two = {r.doc_id: r.perplexity for r in perplexities(docs, labels, most_broadcast=0)[0].collect()}
+    one = {r.doc_id: r._perplexity for r in score(docs).collect()}
+    two = {r.doc_id: r._perplexity for r in fit(docs, labels, most_broadcast=0)[0](docs).collect()}
     for i, t, *_ in rows:
         assert math.isclose(one[i], plain(t), rel_tol=1e-4) and math.isclose(two[i], one[i], rel_tol=1e-6)
     out = {r.doc_id: r for r in classify(docs, labels).collect()}
@@ -78,6 +78,9 @@ def test_cases(spark):
     by = {r.doc_id: r for r in got}
     assert not by[100].keep and not by[101].keep and by[100].perplexity is None and by[None].perplexity > 1 and by[102].threshold is not None
     assert len([r for r in got if r.doc_id == 1]) == 2
+    clash = docs.withColumnRenamed("n", "keep")
+    kept = accept(clash, labels)
+    assert kept.columns == clash.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
     none = classify(docs, labels.where("false")).collect()
     assert {r.doc_id for r in none if not r.keep} == {100, 101} and all(r.perplexity is None for r in none)
     assert classify(docs.where("false"), labels).count() == 0
