@@ -6,9 +6,10 @@
    (``tables``), so the work grows a little faster than the corpus, not with its square.
 3. In each shard a navigable small-world graph is built by batches: each batch searches the graph so far by beam search for its nearest nodes and is
    linked to them. Then every node is a query: from its own place in the graph the beam expands, doubled until no more than half of it lies
-   within the radius, so that partners have no cap.
+   within the radius. A node with too many partners even for the widest beam is crowded.
 4. Pairs within the radius are candidates. They are verified by the exact Jaccard similarity of sets of word triples, first each node with its
    nearest partners; a pair whose ends are in one group by then needs no verification, as it can't change the groups; the others are verified next.
+   Crowded nodes are compared exactly with all nodes of their shards that aren't in their group by then, so partners have no cap.
 5. Verified edges are unioned into connected components; the least doc_id of a group is kept.
 
 ``audit`` measures recall against exact search.
@@ -168,35 +169,46 @@ class Graph:
         keys[:, :-1][twice] = _FULL
         return np.sort(keys, axis=1)[:, :beam]
 
-    def partners(self, beam: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs a < b within the radius and their distance, every node being a query."""
-        found = []
-        todo = np.arange(len(self.fp))
+    def partners(self, beam: int = 16, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs a < b within the radius and their distance, every node being a query, and the nodes of crowded places.
+
+        A beam expands, doubled, until no more than half of it lies within the radius. A node whose beam of `most` is still that full is crowded: of
+        its partners only that beam is given, and ``across`` finds the others.
+        """
+        n = len(self.fp)
+        found, todo = [], np.arange(n)
         start = np.concatenate([todo[:, None], self.near], axis=1)
-        while len(todo):
-            beam = min(beam, len(self.fp))
+        while True:
             full = []
-            for i in range(0, len(todo), 8192):
-                q = todo[i : i + 8192]
+            for i in range(0, len(todo), 4096):
+                q = todo[i : i + 4096]
                 ids, d = self.search(self.fp[q], start[q], beam)
-                r, k = np.nonzero((d <= self.radius) & (ids >= 0))
+                within = (d <= self.radius) & (ids >= 0)
+                more = (within.sum(axis=1) > beam // 2) & (beam < n)
+                full.append(q[more])
+                r, k = np.nonzero(within & ~(more & (beam < most))[:, None])
                 found.append((q[r], ids[r, k], d[r, k]))
-                full.append(q[((d <= self.radius) & (ids >= 0)).sum(axis=1) > beam // 2])
-            if beam >= len(self.fp):
+            todo = np.concatenate(full) if full else todo[:0]
+            if beam >= most or not len(todo):
                 break
-            todo, beam = np.concatenate(full), beam * 2
-        a, b, d = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+            beam *= 2
+        a, b, d = (np.concatenate([f[i] for f in found]) for i in range(3))
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pair, at = np.unique(lo * len(self.fp) + hi, return_index=True)
+        pair, at = np.unique(lo * n + hi, return_index=True)
         at = at[lo[at] < hi[at]]
-        return lo[at], hi[at], d[at]
+        return lo[at], hi[at], d[at], todo
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id) of each document with a text; text_id is the least doc_id with that text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
-    rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("h")).groupBy("doc_id").agg(F.min("h").alias("h"))
-    return rows.select("doc_id", "h", F.min("doc_id").over(Window.partitionBy("h")).alias("text_id"))
+def across(fp: np.ndarray, queries: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact search: all pairs of a query and a node within the radius whose labels differ."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, 2_000_000 // max(len(fp), 1))
+    for i in range(0, len(queries), step):
+        q = queries[i : i + step]
+        r, k = np.nonzero((distance(fp[q][:, None], fp[None]) <= radius) & (labels[q][:, None] != labels[None]))
+        a.append(q[r])
+        b.append(k)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -216,26 +228,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(run, "doc_id bigint, h binary, f0 bigint, f1 bigint")
 
 
-def candidates(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """nodes(id, f0, f1) to pairs (a, b, d), a < b, found within the radius in some shard."""
-    shards = []
-    for i, bits in enumerate(tables(n, shard)):
+def shards(nodes: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
+    """nodes(id, f0, f1, ...) once for each table, with the table t and the shard s there; shards are whole within partitions."""
+    places, bits = [], 0
+    for i, chosen in enumerate(tables(n, shard)):
         # packbits puts bit 0 first in its byte, and bytes lie in little-endian order in the two integers.
-        value = F.lit(0)
-        for b in bits.tolist():
+        value, bits = F.lit(0), len(chosen)
+        for b in chosen.tolist():
             column, place = ("f0", "f1")[b // 64], (b % 64) // 8 * 8 + 7 - b % 8
             value = value * 2 + F.shiftrightunsigned(F.col(column), place).bitwiseAND(F.lit(1))
-        shards.append(F.struct(F.lit(i).alias("t"), value.cast("bigint").alias("s")))
+        places.append(F.struct(F.lit(i).alias("t"), value.cast("bigint").alias("s")))
+    spread = nodes.withColumn("at", F.explode(F.array(*places))).select(*nodes.columns, F.col("at.t").alias("t"), F.col("at.s").alias("s"))
+    # The work is in the graphs, not in the bytes: as many partitions as there are shards, whatever their size.
+    return spread.repartition(min(max(12, len(places) * 2**bits), 20_000), "t", "s")
+
+
+def _sorted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    pdf = pdf.iloc[np.argsort(mix(pdf["id"].to_numpy().view(U)))]
+    return pdf, np.ascontiguousarray(np.column_stack([pdf["f0"].to_numpy(), pdf["f1"].to_numpy()])).view(U)
+
+
+def candidates(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """nodes(id, f0, f1) to pairs (a, b, d), a < b, found within the radius in some shard, and (a, a, 0) for each node a in a crowded place."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.argsort(mix(pdf["id"].to_numpy().view(U)))]
-        fp = np.ascontiguousarray(np.column_stack([pdf["f0"].to_numpy(), pdf["f1"].to_numpy()])).view(U)
+        pdf, fp = _sorted(pdf)
         ids = pdf["id"].to_numpy()
-        a, b, d = Graph(fp, radius=radius).partners()
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "d": d.astype(np.int32)})
+        a, b, d, crowded = Graph(fp, radius=radius).partners()
+        return pd.DataFrame({"a": np.concatenate([np.minimum(ids[a], ids[b]), ids[crowded]]), "b": np.concatenate([np.maximum(ids[a], ids[b]), ids[crowded]]), "d": np.concatenate([d, np.zeros(len(crowded), np.int64)]).astype(np.int32)})
 
-    spread = nodes.withColumn("at", F.explode(F.array(*shards))).select("id", "f0", "f1", F.col("at.t").alias("t"), F.col("at.s").alias("s"))
-    return spread.groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint, d int").distinct()
+    return shards(nodes.select("id", "f0", "f1"), n, shard).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint, d int").distinct()
+
+
+def crossings(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """nodes(id, f0, f1, label, crowded) to all pairs (a, b) within the radius in some shard of a crowded node and one of another label."""
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, fp = _sorted(pdf)
+        ids = pdf["id"].to_numpy()
+        a, b = across(fp, np.flatnonzero(pdf["crowded"].to_numpy()), pdf["label"].to_numpy(), radius)
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
+    return shards(nodes, n, shard).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint").distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -285,21 +319,33 @@ def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shar
     printed = printed.groupBy("doc_id").agg(F.min(F.struct("h", "f0", "f1")).alias("p")).select("doc_id", "p.*")
     printed = cut(printed.withColumn("text_id", F.min("doc_id").over(Window.partitionBy("h"))))
     nodes = printed.where("doc_id = text_id").select(F.col("doc_id").alias("id"), "f0", "f1")
-    found = cut(candidates(nodes, nodes.count(), radius, shard))
-    touched = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
-    wanted = touched.join(printed.select(F.col("doc_id").alias("id"), "h"), "id")
+    n = nodes.count()
+    marks = cut(candidates(nodes, n, radius, shard))
+    found = marks.where("a <> b")
+    crowded = marks.where("a = b").select(F.col("a").alias("id"), F.lit(True).alias("crowded"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text")).where("_id IS NOT NULL AND length(text) > 0")
-    texts = rows.join(wanted, (F.col("_id") == F.col("id")) & (F.unhex(F.md5("text")) == F.col("h"))).select("id", "text").dropDuplicates(["id"])
-    sets = cut(shingle_sets(texts))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        touched = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = touched.join(printed.select(F.col("doc_id").alias("id"), "h"), "id")
+        return cut(shingle_sets(rows.join(wanted, (F.col("_id") == F.col("id")) & (F.unhex(F.md5("text")) == F.col("h"))).select("id", "text").dropDuplicates(["id"])))
+
     ends = found.select("a", "b", "d").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    nearest = ends.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = cut(verify(nearest, sets, jaccard))
-    label = cut(components(first))
+    nearest = cut(ends.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = sets_of(nearest)
+    label = cut(components(cut(verify(nearest, sets, jaccard))))
     la, lb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = found.join(nearest, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    second = cut(verify(rest, sets, jaccard))
-    # Between groups of the first round, so that what is unioned again is small.
-    bridges = second.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    rest = found.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    if not crowded.isEmpty():
+        marked = nodes.join(label, "id", "left").join(crowded, "id", "left").select("id", "f0", "f1", F.coalesce("component", "id").alias("label"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+        rest = rest.unionAll(crossings(marked, n, radius, shard)).distinct()
+    rest = cut(rest.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    if rest.isEmpty():
+        bridges = rest.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    else:
+        # Between groups of the first round, so that what is unioned again is small. All their ends have near nodes, so their sets are there.
+        good = verify(rest.select("a", "b"), sets, jaccard)
+        bridges = good.join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     over = components(bridges).select(F.col("id").alias("c1"), F.col("component").alias("c2"))
     merged = printed.select("doc_id", "text_id").join(label, F.col("text_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "text_id").alias("c"))
     return merged.join(over, F.col("c") == F.col("c1"), "left").select("doc_id", F.coalesce("c2", "c").alias("kept")).where("doc_id <> kept")

@@ -4,7 +4,7 @@ import numpy as np
 
 from strandix.llm.common import Words, utf8
 from strandix.llm.components import components
-from strandix.llm.simhash import JACCARD, Graph, audit, candidates, deduplicate, distance, fingerprints, groups, simhash
+from strandix.llm.simhash import JACCARD, Graph, across, audit, candidates, deduplicate, distance, fingerprints, groups, simhash
 
 
 def find(parent, x):
@@ -32,8 +32,10 @@ def test_graph_recall_with_every_node_a_query():
     flips = np.unpackbits(fp[:800].view(np.uint8), axis=1) ^ (rng.random((800, 128)) < 0.12)
     fp = np.concatenate([fp, np.packbits(flips, axis=1).view(np.uint64), np.repeat(fp[:1], 150, axis=0)])
     fp = fp[rng.permutation(len(fp))]
-    a, b, d = Graph(fp).partners()
-    got = set(zip(a.tolist(), b.tolist()))
+    a, b, d, crowded = Graph(fp).partners()
+    assert len(crowded) >= 150
+    x, y = across(fp, crowded, np.arange(len(fp)), 36)
+    got = set(zip(a.tolist(), b.tolist())) | {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())}
     want = set()
     for i in range(0, len(fp), 500):
         x, y = np.nonzero(distance(fp[i : i + 500, None], fp[None]) <= 36)
@@ -103,6 +105,21 @@ def test_audit(spark):
     assert there > 50 and found >= 0.9 * there
 
 
+def test_crowds(spark):
+    """A cluster beyond the widest beam, of which the members are alike only along a chain of changes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    w = [word() for _ in range(120)]
+    texts = []
+    for i in range(200):
+        w[i % 120] = word()
+        texts.append(" ".join(w))
+    other = [" ".join(word() for _ in range(100)) for _ in range(50)]
+    rows = list(enumerate(texts + other))
+    got = {r.doc_id: r.kept for r in groups(spark.createDataFrame(rows, "doc_id long, text string"), shard=100).collect()}
+    assert got == {i: 0 for i in range(1, 200)}
+
+
 def test_cases(spark):
     t = "the quick brown fox jumps over the lazy dog again and again until night falls on the hill"
     rows = [(1, None), (2, ""), (3, ""), (None, t), (4, t), (5, t), (5, t), (6, "w"), (7, "w"), (8, t + " w"), (9, "long text here " * 30000), (10, "  "), (11, "a b"), (12, "a c"), (13, None)]
