@@ -97,7 +97,6 @@ class Graph:
         self.fp, self.degree, self.radius = fp, degree, radius
         n = len(fp)
         self.near = np.full((n, degree), -1, np.int32)
-        self.far = np.full((n, degree), 255, np.int16)
         done = min(n, 48)
         i, j = np.nonzero(~np.eye(done, dtype=bool))
         self._link(i, j)
@@ -273,7 +272,10 @@ def crossings(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, set): the sorted distinct 64-bit hashes of each text's word triples, as bytes."""
+    """(id, set): the sorted distinct 32-bit hashes of each text's word triples, as bytes.
+
+    Two sets of m and n triples share about m * n / 2**32 hashes by chance: less than one for texts of 60,000 words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +290,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     if not len(s):
                         w = words.hash[words.first[i] : words.first[i + 1]]
                         s = mix(np.array([sum(int(x) * 31**j for j, x in enumerate(w)) % 2**64], U))
-                    sets.append(np.unique(s).tobytes())
+                    sets.append(np.unique((s >> U(32)).astype(np.uint32)).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.binary())], ["id", "set"])
 
     return docs.mapInArrow(run, "id bigint, set binary")
@@ -301,7 +303,7 @@ def verify(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataF
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -328,7 +330,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shar
     def sets_of(pairs: DataFrame) -> DataFrame:
         touched = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = touched.join(printed.select(F.col("doc_id").alias("id"), "h"), "id")
-        return cut(shingle_sets(rows.join(wanted, (F.col("_id") == F.col("id")) & (F.unhex(F.md5("text")) == F.col("h"))).select("id", "text").dropDuplicates(["id"])))
+        # Joined by id alone, so that texts of one id are in one partition and lose their repetitions there, without another shuffle.
+        own = F.xxhash64(F.unhex(F.md5("text"))).bitwiseXOR(F.xxhash64("h")) == 0
+        return cut(shingle_sets(rows.join(wanted, F.col("_id") == F.col("id")).where(own).select("id", "text").dropDuplicates(["id"])))
 
     ends = found.select("a", "b", "d").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     nearest = cut(ends.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
