@@ -70,7 +70,7 @@ def embed_questions(questions: DataFrame, embedder: EmbedFunction) -> DataFrame:
             yield pd.Series(checked(texts.tolist(), embedder(texts.tolist())), dtype=object)
 
     trimmed = questions.select("question_id", text_trim(F.col("question")).alias("question"))
-    return trimmed.withColumn("embedding", normalize(call.asNondeterministic()("question")).cast("array<float>"))
+    return trimmed.withColumn("embedding", call.asNondeterministic()("question")).withColumn("embedding", normalize(F.col("embedding")).cast("array<float>"))
 
 
 def answer(

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandix.config import normalize_extensions
 
@@ -32,7 +33,7 @@ def source_order(source: Column) -> Column:
     return F.transform(F.split(source, "/"), lambda x: F.collate(x, "UNICODE"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 

@@ -117,18 +117,20 @@ def write_store(store: DataFrame, meta: StoreMeta, path: str) -> None:
     version = f"v-{uuid.uuid4().hex}"
     store.write.parquet(f"{path}/{version}")
     fs, root, Path = _hadoop(spark, path)
-    temp, final = Path(root, f"_current.{version}"), Path(root, "_current.json")
+    temp, final = Path(root, f"current.{version}"), Path(root, "current.json")
     out = fs.create(temp, True)
     out.write(bytearray(json.dumps({"version": version, "_meta": meta.to_json()}).encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(temp, final)
+    # One rename over the old pointer: at no time is there none.
+    hadoop, gateway = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    how = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(temp, final, how)
 
 
 def read_store(spark: SparkSession, path: str, config: ModelConfig | None = None) -> tuple[StoreMeta, DataFrame]:
     fs, root, Path = _hadoop(spark, path)
-    if not fs.exists(Path(root, "_current.json")):
+    if not fs.exists(Path(root, "current.json")):
         raise FileNotFoundError(f"no vector store at {path}")
-    head = json.loads("".join(r.value for r in spark.read.text(f"{path}/_current.json").collect()))
+    head = json.loads("".join(r.value for r in spark.read.text(f"{path}/current.json").collect()))
     return StoreMeta.from_json(head["_meta"], config), spark.read.parquet(f"{path}/{head['version']}")
