@@ -42,7 +42,7 @@ def load_documents(spark: SparkSession, folder: str, extensions: Iterable[str] |
     """(source, content, doc_ord) of the text files below a folder. Files are dropped by name before they are read; malformed UTF-8 is replaced."""
     wanted, left_out = normalize_extensions(extensions), [x.replace("\\", "/") for x in exclude]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z][a-z0-9+.-]*:/+", "/")
+    path = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/+", "/")
     rows = files.select(portable(path, (source_root or folder).removeprefix("file://")).alias("source"), "content").where(extension(F.col("source")).isin(wanted))
     if left_out:
         rows = rows.where(~F.col("source").isin(left_out))
