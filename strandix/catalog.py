@@ -85,7 +85,7 @@ mx AS (SELECT question_id, max(raw) AS m FROM bm GROUP BY question_id)
 def _search(weight: float = 0.3, least: float = 0, pool: int = 8, per: int = 2, top: int = 4, repeat: int = 2) -> str:
     return f"""
 {_POSTINGS}, {_bm25(repeat)},
-sc AS (SELECT q.question_id, c.ord, list_dot_product(c.embedding::DOUBLE[], q.qe::DOUBLE[]) AS v, coalesce(bm.raw / nullif(mx.m, 0), 0) AS k
+sc AS (SELECT q.question_id, c.ord, list_dot_product(c.embedding::DOUBLE[], q.qe::DOUBLE[]) AS v, {'coalesce(bm.raw / nullif(mx.m, 0), 0)' if weight else '0::DOUBLE'} AS k
   FROM chunk c CROSS JOIN q LEFT JOIN bm ON bm.ord = c.ord AND bm.question_id = q.question_id LEFT JOIN mx ON mx.question_id = q.question_id),
 fused AS (SELECT *, round({1 - weight}::DOUBLE * v + {weight}::DOUBLE * k, 9) AS score FROM sc),
 pool AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord) AS rank FROM fused {f"WHERE score >= {least}" if least > 0 else ""} QUALIFY rank <= {pool}),
@@ -150,13 +150,13 @@ def white_space_trim(spark, d):
 _PACKED = f"""
 par AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format("x")}), lambda x: x <> '') AS p FROM documents),
 step AS (
-  SELECT doc_id, p, 1 AS i, ''::VARCHAR AS buf, []::VARCHAR[] AS out FROM par
+  SELECT doc_id, p, 1 AS pos, ''::VARCHAR AS buf, []::VARCHAR[] AS out FROM par
   UNION ALL
-  SELECT doc_id, p, i + 1,
-    CASE WHEN length(buf) + length(p[i]) + 2 <= 300 THEN CASE WHEN buf <> '' THEN buf || chr(10) || chr(10) || p[i] ELSE p[i] END WHEN length(p[i]) > 300 THEN '' ELSE p[i] END,
-    CASE WHEN length(buf) + length(p[i]) + 2 <= 300 THEN out ELSE list_concat(list_concat(out, CASE WHEN buf <> '' THEN [buf] ELSE [] END), CASE WHEN length(p[i]) > 300 THEN {_split("p[i]", 300, 40)} ELSE [] END) END
-  FROM step WHERE i <= len(p)
-), packed AS (SELECT doc_id, list_concat(out, CASE WHEN buf <> '' THEN [buf] ELSE [] END) AS c FROM step WHERE i > len(p))
+  SELECT doc_id, p, pos + 1,
+    CASE WHEN length(buf) + length(p[pos]) + 2 <= 300 THEN CASE WHEN buf <> '' THEN buf || chr(10) || chr(10) || p[pos] ELSE p[pos] END WHEN length(p[pos]) > 300 THEN '' ELSE p[pos] END,
+    CASE WHEN length(buf) + length(p[pos]) + 2 <= 300 THEN out ELSE list_concat(list_concat(out, CASE WHEN buf <> '' THEN [buf] ELSE [] END), CASE WHEN length(p[pos]) > 300 THEN {_split("p[pos]", 300, 40)} ELSE [] END) END
+  FROM step WHERE pos <= len(p)
+), packed AS (SELECT doc_id, list_concat(out, CASE WHEN buf <> '' THEN [buf] ELSE [] END) AS c FROM step WHERE pos > len(p))
 """
 
 
@@ -275,9 +275,8 @@ def batch_questions_search(spark, d):
 
 @query("WITH r AS (SELECT 0::BIGINT AS question_id, doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS n FROM r) SELECT question_id, doc_id, source, row_number() OVER (ORDER BY rank)::INTEGER AS rank FROM c WHERE n <= 3")
 def diverse_hits(spark, d):
-    from pyspark.sql.window import Window
-
-    ranked = read(spark, d, "documents").select(F.lit(0).cast("bigint").alias("question_id"), "doc_id", "source", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    # Any ordered value serves as rank, so no global numbering is needed: each source keeps its three first.
+    ranked = read(spark, d, "documents").select(F.lit(0).cast("bigint").alias("question_id"), "doc_id", "source", F.struct(-F.col("n_chars"), "doc_id").alias("rank"))
     return select_diverse(ranked, 3)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ _WHITE = r"[\s\u000b   -     　﻿]"
 HEADING = r"^(#{1,6})[\s   -     　﻿]+([^\n\r  ]*)\z"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once; written into lambdas as it is, it would be computed for each of their elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_trim(text: Column) -> Column:
     """Trims every Unicode white space, line ends and the byte order mark."""
     return F.regexp_replace(text, rf"^{_WHITE}+|{_WHITE}+\z", "")
@@ -23,7 +30,7 @@ def tokenize(text: Column) -> Column:
 
 def term_counts(tokens: Column) -> Column:
     """Array of (term, count), by term. Quadratic in a row's distinct terms: for chunks, not for whole documents."""
-    return F.transform(F.array_sort(F.array_distinct(tokens)), lambda t: F.struct(t.alias("term"), F.size(F.filter(tokens, lambda x: x == t)).alias("count")))
+    return let(tokens, lambda all_: F.transform(F.array_sort(F.array_distinct(all_)), lambda t: F.struct(t.alias("term"), F.size(F.filter(all_, lambda x: x == t)).alias("count"))))
 
 
 def hard_split(text: Column, size: int, overlap: int) -> Column:
@@ -31,9 +38,13 @@ def hard_split(text: Column, size: int, overlap: int) -> Column:
     if size < 1 or not 0 <= overlap < size:
         raise ValueError(f"need size >= 1 and 0 <= overlap < size, not {size} and {overlap}")
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.ceil((F.length(text) - size) / step).cast("int") * step, F.lit(step))
-    cuts = F.filter(F.transform(starts, lambda i: text_trim(F.substring(text, i + 1, F.lit(size)))), lambda x: x != "")
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(cuts)
+
+    def cuts(whole: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.ceil((F.length(whole) - size) / step).cast("int") * step, F.lit(step))
+        windows = F.filter(F.transform(starts, lambda i: text_trim(F.substring(whole, i + 1, F.lit(size)))), lambda x: x != "")
+        return F.when(F.length(whole) <= size, F.array(whole)).otherwise(windows)
+
+    return let(text, cuts)
 
 
 def pack(paragraphs: Column, size: int, overlap: int) -> Column:
@@ -59,22 +70,32 @@ def sections(text: Column) -> Column:
 
     The fold runs over a text's headings, not over its lines, so long texts cost no quadratic copying of lines.
     """
+    entry = "struct<level:int,title:string>"
+
+    def headings(lines: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).rlike(HEADING))
+        part = lambda i, n: F.regexp_extract(F.get(lines, i - 1), HEADING, n)
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.length(part(i, 1)).alias("level"), text_trim(part(i, 2)).alias("title")))
+
+    def paths(heads: Column) -> Column:
+        """Each heading's path: the headings of lower levels that still hold, then its own title."""
+        state = lambda stack, out: F.struct(stack.alias("stack"), out.alias("out"))
+        push = lambda s, h: F.array_append(F.filter(s["stack"], lambda e: e["level"] < h["level"]), F.struct(h["level"].alias("level"), h["title"].alias("title")))
+        step = lambda s, h: let(push(s, h), lambda stack: state(stack, F.array_append(s["out"], F.array_join(F.transform(stack, lambda e: e["title"]), " > "))))
+        return F.aggregate(heads, state(F.array().cast(f"array<{entry}>"), F.array().cast("array<string>")), step, lambda s: s["out"])
+
+    def cut(lines: Column, heads: Column, names: Column) -> Column:
+        def section(k: Column) -> Column:
+            first = F.coalesce(F.get(heads, k - 1)["at"], F.lit(0)) + 1
+            n = F.coalesce(F.get(heads, k)["at"], F.size(lines) + 1) - first
+            return F.struct(n.alias("n"), F.coalesce(F.get(names, k - 1), F.lit("")).alias("heading"), F.array_join(F.slice(lines, first, F.greatest(n, F.lit(0))), "\n").alias("body"))
+
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(heads)), section), lambda s: s["n"] > 0)
+        whole = F.array(F.struct(F.lit(1).alias("n"), F.lit("").alias("heading"), F.array_join(lines, "\n").alias("body")))
+        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
+
     clean = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    lines = F.split(clean, "\n")
-    at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).rlike(HEADING))
-    level = lambda i: F.length(F.regexp_extract(F.get(lines, i - 1), HEADING, 1))
-    title = lambda i: text_trim(F.regexp_extract(F.get(lines, i - 1), HEADING, 2))
-    entry = lambda i: F.struct(level(i).alias("level"), title(i).alias("title"))
-    push = lambda stack, i: F.array_append(F.filter(stack, lambda e: e["level"] < level(i)), entry(i))
-    path = lambda k: F.array_join(F.transform(F.aggregate(F.slice(at, F.lit(1), k), F.array().cast("array<struct<level:int,title:string>>"), push), lambda e: e["title"]), " > ")
-
-    def section(k: Column) -> Column:
-        first = F.coalesce(F.get(at, k - 1), F.lit(0)) + 1
-        n = F.coalesce(F.get(at, k), F.size(lines) + 1) - first
-        return F.struct(n.alias("n"), path(k).alias("heading"), F.array_join(F.slice(lines, first, F.greatest(n, F.lit(0))), "\n").alias("body"))
-
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.size(at)), section), lambda s: s["n"] > 0)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(1).alias("n"), F.lit("").alias("heading"), clean.alias("body"))))
+    return let(F.split(clean, "\n"), lambda lines: let(headings(lines), lambda heads: let(paths(heads), lambda names: cut(lines, heads, names))))
 
 
 def split_semantic(text: Column, size: int, overlap: int) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +59,33 @@ def complete_keyword_stats(rows: DataFrame) -> DataFrame:
     return rows.withColumns({n: F.when(lacking, fresh[n]).otherwise(F.col(n)) for n in names})
 
 
+#: Base and modulus of the hash that joins the documents' digests: hash(a then b) = hash(a) * BASE ** len(b) + hash(b), so it may be cut anywhere.
+_BASE, _PRIME = 0x9E3779B97F4A7C15F39CC0605CEDC835, 2**521 - 1
+
+
 def fingerprint(chunks: DataFrame, options: IngestOptions, provider: str, model: str) -> DataFrame:
-    """One row: SHA-1 over the settings and, in order, each chunk's identity, hash and keyword statistics.
+    """One row: a SHA-1 over the settings and, in order, each chunk's identity, hash and keyword statistics.
 
-    Each chunk is digested where it lies; digests are joined per document, then over documents, so no task holds more than a digest a document.
+    Each chunk is digested where it lies, a document's digests are joined, and the documents' digests are folded in each partition of a distributed sort. What
+    meets in one place is a row for each partition, and the result doesn't depend on where partitions end.
     """
     digest = F.sha1(F.encode(F.to_json(F.struct("id", "source", "chunk_index", "hash", "kw_heading_terms", "kw_heading_count", "kw_content_terms", "kw_content_count")), "UTF-8"))
-    ordered = lambda key: F.sha1(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("digest").alias("d")))), lambda x: x["d"]), "\n"), "UTF-8"))
-    per_doc = chunks.select("doc_ord", "chunk_index", digest.alias("digest")).groupBy("doc_ord").agg(ordered("chunk_index").alias("digest"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "digest"))), lambda x: x["digest"]), "\n")
+    per_doc = chunks.select("doc_ord", "chunk_index", digest.alias("digest")).groupBy("doc_ord").agg(F.sha1(F.encode(ordered, "UTF-8")).alias("digest"))
     head = f"1|1|{provider}|{model}|{options.chunk_size}|{options.chunk_overlap}|{options.heading_weight:g}\n"
-    return per_doc.agg(F.sha1(F.encode(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", "digest"))), lambda x: x["digest"]), "\n")), "UTF-8")).alias("fingerprint"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n, h = None, 0, 0
+        for batch in batches:
+            for key, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first, n, h = (key if first is None else first), n + 1, (h * _BASE + int(d, 16)) % _PRIME
+        if n:
+            yield pa.RecordBatch.from_pydict({"first": [first], "n": [n], "h": [str(h)]})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, h = 0, 0
+        for row in sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["first"]):
+            n, h = n + row["n"], (h * pow(_BASE, row["n"], _PRIME) + int(row["h"])) % _PRIME
+        yield pa.RecordBatch.from_pydict({"fingerprint": [hashlib.sha1(f"{head}{n}:{h}".encode()).hexdigest()]})
+
+    return per_doc.orderBy("doc_ord").mapInArrow(fold, "first bigint, n bigint, h string").repartition(1).mapInArrow(join, "fingerprint string")
