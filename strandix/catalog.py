@@ -352,7 +352,7 @@ def store_round_trip(spark, d):
     rows = C.with_keyword_stats(store(spark, d)).withColumn("hash", F.sha1(F.encode("content", "UTF-8")))
     lines = S.record_lines(rows)
     back, _ = S.parse_records(lines, 64)
-    return back.select("ord", "id", "source", "heading", "content", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.size("embedding").alias("dim"))
+    return back.select("ord", "id", "source", "heading", "content", F.round(F.get("embedding", F.lit(0)).cast("float").cast("double"), 6).alias("first"), F.size("embedding").alias("dim"))
 
 
 @query("SELECT doc_id AS ord, CASE doc_id % 5 WHEN 0 THEN 'unparseable' WHEN 1 THEN 'embedding' WHEN 2 THEN 'embedding' ELSE 'incomplete' END AS reason, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 4 THEN 'unknown' ELSE 'd' || doc_id END AS id FROM documents")

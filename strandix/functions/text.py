@@ -29,8 +29,15 @@ def tokenize(text: Column) -> Column:
 
 
 def term_counts(tokens: Column) -> Column:
-    """Array of (term, count), by term. Quadratic in a row's distinct terms: for chunks, not for whole documents."""
-    return let(tokens, lambda all_: F.transform(F.array_sort(F.array_distinct(all_)), lambda t: F.struct(t.alias("term"), F.size(F.filter(all_, lambda x: x == t)).alias("count"))))
+    """Array of (term, count), by term: runs of the sorted tokens."""
+
+    def runs(words: Column) -> Column:
+        new = lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2))
+        firsts = F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), new)).otherwise(F.array().cast("array<int>"))
+        count = lambda at, i, k: F.coalesce(F.get(at, k + 1), F.size(words) + 1) - i
+        return let(firsts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i - 1).alias("term"), count(at, i, k).alias("count"))))
+
+    return let(F.array_sort(tokens), runs)
 
 
 def hard_split(text: Column, size: int, overlap: int) -> Column:

@@ -16,7 +16,11 @@ COLUMNS = ["ord", "id", "source", "chunk_index", "heading", "content", "hash", "
 
 
 def _pairs(terms: Column) -> Column:
-    one = F.transform(terms, lambda t: F.concat(F.lit("["), F.to_json(F.array(t["term"])).substr(F.lit(2), F.length(F.to_json(F.array(t["term"]))) - 2), F.lit(","), t["count"].cast("string"), F.lit("]")))
+    def quoted(t: Column) -> Column:
+        escaped = F.to_json(F.array(t))
+        return F.when(t.rlike(r"^[\p{L}\p{N}]*\z"), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.substring(escaped, F.lit(2), F.length(escaped) - 2))
+
+    one = F.transform(terms, lambda t: F.concat(F.lit("["), quoted(t["term"]), F.lit(","), t["count"].cast("string"), F.lit("]")))
     return F.concat(F.lit("["), F.array_join(one, ","), F.lit("]"))
 
 
