@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
     got = sorted(str([plain(r[c]) for c in columns]) for r in df.collect())
-    assert got
+    assert got or name == "embedding_cache_misses"  # every text of the smallest tables has a vector
     if name in catalog.SQL:
         cursor = duck.execute(catalog.SQL[name])
         names = [d[0] for d in cursor.description]
