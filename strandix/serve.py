@@ -20,6 +20,7 @@ from strandix.operators.prompts import ChatFunction
 from strandix.plans import qa
 
 BODY_BYTES = 1 << 20
+ROUTES = {"/health": "GET", "/query": "POST", "/reload": "POST"}
 _RANKING = {"topK": "top_k", "minScore": "min_score", "perSourceLimit": "per_source_limit", "keywordWeight": "keyword_weight", "keywordHeadingWeight": "keyword_heading_weight"}
 _PROMPT = {"unknownAnswer": "unknown_answer", "contextLabel": "context_label", "questionLabel": "question_label", "systemPrompt": "system_prompt"}
 
@@ -54,7 +55,7 @@ class Service:
                 self._authorize(authorization)
                 self.retriever = self.open()
                 return 200, {"ok": True, "records": self.retriever.record_count, "meta": self.retriever.meta.to_json() if self.retriever.meta else None}
-            return 404, {"error": "not_found", "endpoints": ["GET /health", "POST /query", "POST /reload"]}
+            return 404, {"error": "not_found", "endpoints": [f"{m} {p}" for p, m in ROUTES.items()]}
         except Refused as e:
             return e.status, {"error": str(e)}
         except Exception as e:  # noqa: BLE001 - a request must not end the server

@@ -60,9 +60,10 @@ def test_chat():
 
 
 def test_streams():
-    sse = 'data: {"choices":[{"delta":{"content":"你"}}]}\r\n\r\n: note\ndata: {broken\ndata: {"choices":[{"delta":{}}]}\ndata:{"choices":[{"delta":{"content":"好"}}]}\ndata: [DONE]\ndata: {"choices":[{"delta":{"content":"no"}}]}'.encode()
+    event = lambda **delta: "data:" + json.dumps(dict(choices=[dict(delta=delta)]))
+    sse = "\n".join([event(content="你") + "\r", "\r", ": note", "data: {broken", event(), event(content="好"), "data: [DONE]", event(content="no")]).encode()
     assert list(sse_tokens(sse)) == ["你", "好"]
-    lines = b'{"message":{"content":"a"}}\n\nbad\n{"message":{}}\n{"message":{"content":"b"},"done":true}'
+    lines = "\n".join([json.dumps(dict(message=dict(content="a"))), "", "bad", json.dumps(dict(message={})), json.dumps(dict(message=dict(content="b"), done=True))]).encode()
     assert list(ndjson_tokens(lines)) == ["a", "b"]
     told = []
     assert create_chat(ModelConfig("lmstudio", "m", "http://h"), send=Server((200, sse)), on_token=told.append)([]) == "你好" and told == ["你", "好"]
