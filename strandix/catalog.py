@@ -141,9 +141,9 @@ def hard_split_chunks(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(T.hard_split(F.col("text"), 600, 80)).alias("chunk_index", "content"))
 
 
-@query("SELECT doc_id, trim(text) AS a, 'x' AS b FROM (SELECT doc_id, substring(text, 1, 20) AS text FROM documents)")
+@query(f"SELECT doc_id, {_TRIM.format('text')} AS a, 'x' AS b FROM documents")
 def white_space_trim(spark, d):
-    padded = F.concat(F.lit("　 \n\t "), F.substring("text", 1, 20), F.lit(" ﻿ \r\n"))
+    padded = F.concat(F.lit("　 \n\t "), "text", F.lit(" ﻿ \r\n"))
     return read(spark, d, "documents").select("doc_id", T.text_trim(padded).alias("a"), T.text_trim(F.lit(" x ")).alias("b"))
 
 
