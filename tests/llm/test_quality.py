@@ -2,7 +2,9 @@ import collections
 import math
 import random
 
-from strandix.llm.quality import ORDER, accept, classify, fit
+import numpy as np
+
+from strandix.llm.quality import ORDER, _fold, accept, classify, fit
 
 
 def kneser_ney(texts):
@@ -84,3 +86,15 @@ def test_cases(spark):
     none = classify(docs, labels.where("false")).collect()
     assert {r.doc_id for r in none if not r.keep} == {100, 101} and all(r.perplexity is None for r in none)
     assert classify(docs.where("false"), labels).count() == 0
+
+
+def test_one_trusted_outlier_does_not_set_the_limit(spark):
+    rows, marks = corpus(640)
+    odd = next(i for i, q, _ in marks if q and _fold(np.array([i]))[0] == 0)
+    rows = [(i, rows[0][1] if i == odd else t, "en" if i % 9 else "fr", s) for i, t, _, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, s string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in classify(docs, labels).collect()}
+    bad = [i for i, *_ in rows if i % 8 == 0]
+    assert not any(out[i].keep for i in [*bad, odd]) and sum(r.keep for r in out.values()) >= 0.97 * (len(rows) - len(bad))
+    assert {i: r.keep for i, r in out.items()} == {r.doc_id: r.keep for r in classify(docs, labels, most_broadcast=0).collect()}
