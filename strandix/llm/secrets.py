@@ -5,14 +5,18 @@ stopping and of every transition, recursively) into a probabilistic automaton. I
 beginning as they are and, after it, a class for letters and digits; a state's outgoing class carries a distribution of characters, smoothed. A
 string's likelihood is that of its path, its characters and its stop.
 
-Every candidate of every text, a run of at least 12 characters of the credential alphabet, is scored by all automata at once: candidates of a slice
-step through the transition tables together, a position at a time. A candidate is reported where its log likelihood a character under a format is
-no less than the least of that format's held-out examples less ``slack``, with the format of the highest. Nothing is shuffled.
+A candidate starts where a run of characters of the credential alphabet does or after a joining character (one of ``_-+/=.``) in it, ends with the
+run or before a joining character, and has at least 12 characters. All candidates of every text are scored: the starts of a slice step through the
+transition tables together, a position at a time, and are scored wherever they may end. A candidate is accepted where its log likelihood a
+character under a format is no less than the least of that format's held-out examples less ``slack``, and it is no shorter than any example. Of a
+start the longest accepted candidate of each format counts, with the format of the highest; of candidates that overlap the first is reported.
+Nothing is shuffled.
 
-``EXAMPLES`` makes the labelled set for three public formats from a fixed seed; another set can be given.
+``EXAMPLES`` makes labelled sets for three public formats from a fixed seed, ``VARIED`` further passwords of many lengths and alphabets; by default
+both are learned from. Another set can be given.
 
 Cases: null and empty texts have no candidates; repeated rows are reported each; null doc_ids stay; candidates longer than any accepted string have
-no path and aren't reported; ties between formats go to the first by name; an empty table gives no rows; other columns are ignored.
+no path and aren't reported unless a part is a candidate; ties between formats go to the first by name; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +39,11 @@ SLACK = 0.35
 SCHEMA = "doc_id bigint, first_char int, format string, candidate string, log_likelihood double"
 _ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _CLASS = 256
-#: Bytes of candidates; '=' joins a key to its value, so that a named value is one candidate.
-_IN = np.zeros(256, bool)
-_IN[[*_ALNUM, *b"_-+/=."]] = True
+#: Bytes of candidates, and those of them that may join a credential to something else.
+_JOIN = np.zeros(256, bool)
+_JOIN[[*b"_-+/=."]] = True
+_IN = _JOIN.copy()
+_IN[[*_ALNUM]] = True
 
 
 def EXAMPLES(n: int = 2000) -> dict[str, list[str]]:  # noqa: N802
@@ -48,12 +54,20 @@ def EXAMPLES(n: int = 2000) -> dict[str, list[str]]:  # noqa: N802
     return {"access_key": ["AKIA" + pick(base32, 16) for _ in range(n)], "hex_token": [pick(hexa, 40) for _ in range(n)], "password": ["password=" + pick(hexa, 18) for _ in range(n)]}
 
 
+def VARIED(n: int = 4000) -> list[str]:  # noqa: N802
+    """Labelled passwords of 8 to 32 characters of several alphabets."""
+    rng = Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = ["0123456789abcdef", lower + digits, upper + digits, lower + upper + digits, lower + upper, lower + upper + digits + "_-"]
+    return ["password=" + "".join(rng.choice(alphabets[i % 6]) for _ in range(rng.randint(8, 32))) for i in range(n)]
+
+
 class Automaton:
     """A probabilistic automaton inferred from example strings."""
 
     def __init__(self, examples: list[str], alpha: float = ALPHA) -> None:
         raw = [e.encode() for e in examples]
-        self.prefix = 0
+        self.prefix, self.shortest = 0, min(map(len, raw), default=0)
         while all(len(r) > self.prefix for r in raw) and len({r[self.prefix] for r in raw}) == 1:
             self.prefix += 1
         self.head = raw[0][: self.prefix] if raw else b""
@@ -172,6 +186,31 @@ class Automaton:
         return out
 
 
+    def longest_accepted(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each start the furthest place, its run's end or a joining character, up to which the log likelihood a character is at least ``least``, and that likelihood; -1 and -inf where there is none."""
+        state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
+        alive, dead = np.arange(len(start)), len(self.to) - 1
+        to, scores = np.full(len(start), -1, np.int64), np.full(len(start), -np.inf)
+        is_class = np.zeros(256, bool)
+        is_class[list(_ALNUM)] = True
+        for i in range(self.longest + 1):
+            at = start[alive] + i
+            inside = at < end[alive]
+            c = np.where(inside, buf[np.minimum(at, len(buf) - 1)], 0).astype(np.int64)
+            if i >= max(self.shortest, LEAST):
+                score = (total[alive] + self.p_stop[state[alive]]) / i
+                good = (~inside | _JOIN[c]) & (score >= least)
+                to[alive[good]], scores[alive[good]] = at[good], score[good]
+            alive, c = alive[inside], c[inside]
+            if not len(alive):
+                break
+            s = c if i < self.prefix else np.where(is_class[c], _CLASS, c)
+            total[alive] += self.p_char[state[alive], s, c]
+            state[alive] = self.to[state[alive], s]
+            alive = alive[state[alive] != dead]
+        return to, scores
+
+
 def learn(examples: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
     """An automaton and its threshold for each format; every fifth example is held out for the threshold."""
     out = {}
@@ -187,7 +226,7 @@ def learn(examples: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
 
 def scan(docs: DataFrame, examples: dict[str, list[str]] | None = None, slack: float = SLACK) -> DataFrame:
     """(doc_id, first_char, format, candidate, log_likelihood) of every credential found."""
-    models = docs.sparkSession.sparkContext.broadcast(learn(examples or EXAMPLES()))
+    models = docs.sparkSession.sparkContext.broadcast(learn(examples or (known := EXAMPLES()) | {"password": known["password"] + VARIED()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = models.value
@@ -207,21 +246,23 @@ def scan(docs: DataFrame, examples: dict[str, list[str]] | None = None, slack: f
                 after[at] = True
                 start = np.flatnonzero(inside & edge[:-1])
                 end = np.flatnonzero(inside & after[1:]) + 1
-                # A full stop ends a sentence, not a credential.
-                while len(end) and (dots := buf[end - 1] == 46).any():
-                    end = end - dots
-                    start, end = start[end > start], end[end > start]
-                long = end - start >= LEAST
-                start, end = start[long], end[long]
+                run = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[False], _JOIN[buf[:-1]]])))
+                end = end[np.searchsorted(start, run, "right") - 1]
+                start = run[end - run >= LEAST]
+                end = end[end - run >= LEAST]
                 if not len(start):
                     continue
-                scores = np.stack([a.score(buf, start, end) - least for a, least in automata.values()])
-                best = scores.argmax(axis=0)
-                for i in np.flatnonzero(scores.max(axis=0) >= -slack).tolist():
+                ends, scores = (np.stack(x) for x in zip(*[a.longest_accepted(buf, start, end, least - slack) for a, least in automata.values()]))
+                above = scores - np.array([least for _, least in automata.values()])[:, None]
+                best = above.argmax(axis=0)
+                past = 0
+                for i in np.flatnonzero(above.max(axis=0) > -np.inf).tolist():
+                    if start[i] < past:
+                        continue
+                    past = int(ends[best[i], i])
                     d = int(np.searchsorted(at, start[i], "right")) - 1
-                    name = list(automata)[best[i]]
                     first = int(((buf[at[d] : start[i]] & 0xC0) != 0x80).sum())
-                    rows.append((ids[lo + d], first, name, buf[start[i] : end[i]].tobytes().decode(), float(scores[best[i], i] + automata[name][1])))
+                    rows.append((ids[lo + d], first, list(automata)[best[i]], buf[start[i] : past].tobytes().decode(), float(scores[best[i], i])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64()))], ["doc_id", "first_char", "format", "candidate", "log_likelihood"]
             )

@@ -70,3 +70,12 @@ def test_scan_finds_all_in_texts_and_cases(spark):
     assert sorted(found, key=str) == sorted([*want, (None, want[0][1]), *[x for x in want if x[0] == 0]], key=str)
     assert all(re.fullmatch({"access_key": r"AKIA\w{16}", "hex_token": r"[0-9a-f]{40}", "password": r"password=\w{18}"}[r.format], r.candidate) for r in got)
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_joined_credentials_and_varied_passwords(spark):
+    key, token = EXAMPLES(5)["access_key"][3], EXAMPLES(5)["hex_token"][3]
+    cases = [("AWS_ACCESS_KEY_ID={}", key), ("api_key={}", key), ("token={}", token), ("https://host.org/a-b/commit/{}", token), ("{}.tar", token), ("x-{}_old", key), ("{}/{}".format("{}", "more"), token)]
+    cases += [("db_{}", "password=" + v) for v in ("0f3a9c11d2e4b5a687", "Tr0ub4dorAndThree", "hunter2hunter2", "Zx9KqLm27PaWc4RtYv81", "correcthorsebattery")]
+    rows = [(i, f"see {f.format(s)}. End") for i, (f, s) in enumerate(cases)] + [(90, "a/b-c_d/e.f=g " * 50), (91, "x=password=short"), (92, "id=" + token[:39]), (93, f"{token}={key}")]
+    got = sorted((r.doc_id, r.candidate, r.first_char) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([*[(i, s, rows[i][1].index(s)) for i, (_, s) in enumerate(cases)], (93, token, 0), (93, key, 41)])
