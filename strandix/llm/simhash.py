@@ -327,8 +327,12 @@ def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shar
     crowded = marks.where("a = b").select(F.col("a").alias("id"), F.lit(True).alias("crowded"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text")).where("_id IS NOT NULL AND length(text) > 0")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def sets_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         touched = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+        if known is not None:
+            touched = cut(touched.join(known.select("id"), "id", "left_anti"))
+            if touched.isEmpty():
+                return known.where("false")
         wanted = touched.join(printed.select(F.col("doc_id").alias("id"), "h"), "id")
         # Joined by id alone, so that texts of one id are in one partition and lose their repetitions there, without another shuffle.
         own = F.xxhash64(F.unhex(F.md5("text"))).bitwiseXOR(F.xxhash64("h")) == 0
@@ -347,8 +351,8 @@ def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shar
     if rest.isEmpty():
         bridges = rest.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     else:
-        # Between groups of the first round, so that what is unioned again is small. All their ends have near nodes, so their sets are there.
-        good = verify(rest.select("a", "b"), sets, jaccard)
+        # Between groups of the first round, so that what is unioned again is small. An end that only `crossings` found has no set yet.
+        good = verify(rest.select("a", "b"), sets.unionAll(sets_of(rest, sets)), jaccard)
         bridges = good.join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     over = components(bridges).select(F.col("id").alias("c1"), F.col("component").alias("c2"))
     merged = printed.select("doc_id", "text_id").join(label, F.col("text_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "text_id").alias("c"))

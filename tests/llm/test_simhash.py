@@ -128,3 +128,12 @@ def test_cases(spark):
     assert got == {5: 4, 8: 4, 7: 6}
     assert deduplicate(frame).count() == len(rows) - 4
     assert groups(frame.where("false")).count() == 0
+
+
+def test_a_node_that_only_a_crowd_finds_is_verified(spark, monkeypatch):
+    rng = random.Random(12)
+    w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+    texts = [" ".join([*w, "w" + "x" * i]) for i in range(100)]
+    monkeypatch.setattr("strandix.llm.simhash.candidates", lambda *a: candidates(*a).where("a = b AND a <> 99 OR a <> 99 AND b <> 99"))
+    got = {r.doc_id: r.kept for r in groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(1, 100)}
