@@ -2,8 +2,9 @@
 
 1. Texts equal to the byte are one node. Each node has a 128-bit SimHash of its word pairs, made of vector operations over all texts of a slice.
 2. Nodes go to shards: in each of T tables the shard is given by a few sampled bits, so that near fingerprints meet in some shard with high
-   probability and a shard's size doesn't grow with the corpus. The number of bits follows the corpus's size and T follows from the bits
-   (``tables``), so the work grows a little faster than the corpus, not with its square.
+   probability and a shard's size doesn't grow with the corpus. The number of bits follows the corpus's size and T follows from the bits and the
+   radius (``tables``): a pair just within the radius is missed by all tables with probability MISS at most, at every size. The work grows about
+   with the power 1.5 of the corpus, not with its square. This stands for sending every query to every shard.
 3. In each shard a navigable small-world graph is built by batches: each batch searches the graph so far by beam search for its nearest nodes and is
    linked to them. Then every node is a query: from its own place in the graph the beam expands, doubled until no more than half of it lies
    within the radius. A node with too many partners even for the widest beam is crowded.
@@ -37,8 +38,8 @@ from strandix.llm.components import components
 RADIUS = 36
 JACCARD = 0.55
 SHARD = 16_384
-#: Design point of the tables: share of differing bits of a pair at the lowest similarity that usually matters, and the share missed there.
-BIT_ERROR, MISS = 0.16, 0.02
+#: Share of the pairs just within the radius that may share no shard in any table.
+MISS = 0.02
 NEAREST = 3
 
 _SPREAD = np.array([int.from_bytes(bytes((i >> b) & 1 for b in range(8)), "little") for i in range(256)], U)
@@ -77,12 +78,13 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x[..., 0].astype(np.int64) + x[..., 1]
 
 
-def tables(n: int, shard: int = SHARD) -> list[np.ndarray]:
-    """Bit positions of each table for n nodes."""
+def tables(n: int, shard: int = SHARD, radius: int = RADIUS) -> list[np.ndarray]:
+    """Bit positions of each table for n nodes, so many that pairs within the radius meet."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / shard)))
     if not bits:
         return [np.zeros(0, np.int64)]
-    count = math.ceil(math.log(MISS) / math.log(1 - (1 - BIT_ERROR) ** bits))
+    meet = math.comb(128 - radius, bits) / math.comb(128, bits)
+    count = math.ceil(math.log(MISS) / math.log(1 - meet))
     rng = np.random.default_rng(4)
     return [np.sort(rng.permutation(128)[:bits]) for _ in range(count)]
 
@@ -227,10 +229,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(run, "doc_id bigint, h binary, f0 bigint, f1 bigint")
 
 
-def shards(nodes: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
+def shards(nodes: DataFrame, n: int, shard: int = SHARD, radius: int = RADIUS) -> DataFrame:
     """nodes(id, f0, f1, ...) once for each table, with the table t and the shard s there; shards are whole within partitions."""
     places, bits = [], 0
-    for i, chosen in enumerate(tables(n, shard)):
+    for i, chosen in enumerate(tables(n, shard, radius)):
         # packbits puts bit 0 first in its byte, and bytes lie in little-endian order in the two integers.
         value, bits = F.lit(0), len(chosen)
         for b in chosen.tolist():
@@ -256,7 +258,7 @@ def candidates(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHAR
         a, b, d, crowded = Graph(fp, radius=radius).partners()
         return pd.DataFrame({"a": np.concatenate([np.minimum(ids[a], ids[b]), ids[crowded]]), "b": np.concatenate([np.maximum(ids[a], ids[b]), ids[crowded]]), "d": np.concatenate([d, np.zeros(len(crowded), np.int64)]).astype(np.int32)})
 
-    return shards(nodes.select("id", "f0", "f1"), n, shard).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint, d int").distinct()
+    return shards(nodes.select("id", "f0", "f1"), n, shard, radius).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint, d int").distinct()
 
 
 def crossings(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
@@ -268,7 +270,7 @@ def crossings(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD
         a, b = across(fp, np.flatnonzero(pdf["crowded"].to_numpy()), pdf["label"].to_numpy(), radius)
         return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
-    return shards(nodes, n, shard).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint").distinct()
+    return shards(nodes, n, shard, radius).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint").distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:

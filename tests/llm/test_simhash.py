@@ -4,7 +4,7 @@ import numpy as np
 
 from strandix.llm.common import Words, utf8
 from strandix.llm.components import components
-from strandix.llm.simhash import JACCARD, Graph, across, audit, candidates, deduplicate, distance, fingerprints, groups, simhash
+from strandix.llm.simhash import JACCARD, Graph, across, audit, candidates, deduplicate, distance, fingerprints, groups, simhash, tables
 
 
 def find(parent, x):
@@ -137,3 +137,13 @@ def test_a_node_that_only_a_crowd_finds_is_verified(spark, monkeypatch):
     monkeypatch.setattr("strandix.llm.simhash.candidates", lambda *a: candidates(*a).where("a = b AND a <> 99 OR a <> 99 AND b <> 99"))
     got = {r.doc_id: r.kept for r in groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: 0 for i in range(1, 100)}
+
+
+def test_pairs_at_the_radius_meet_in_some_shard_at_every_size():
+    rng = np.random.default_rng(2)
+    for n in (10_000, 100_000, 200_000, 12_000_000):
+        differ = np.argsort(rng.random((4000, 128)), axis=1)[:, :36]
+        met = np.zeros(4000, bool)
+        for bits in tables(n):
+            met |= ~np.isin(differ, bits).any(axis=1)
+        assert met.mean() >= 0.96
