@@ -47,7 +47,7 @@ class Items:
         self.k, self.ids, self.sets = k, ids, sets
         probes: dict[int, list[tuple[int, int, int]]] = {}
         for i, s in enumerate(sets):
-            size = 4
+            size = 1
             while size < len(s):
                 size *= 2
             for j, seed in enumerate(_SEEDS):

@@ -49,3 +49,12 @@ def test_matches_brute_force(spark):
     kept = decontaminate(frame, bench)
     assert kept.columns == frame.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] not in dirty)
     assert contained(frame.where("false"), bench).count() == 0 and contained(frame, bench.where("false")).count() == 0
+
+
+def test_short_items_are_found_in_long_documents(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(5))) for i in range(300)]
+    docs = [(i, " ".join([*(word() for _ in range(40)), t, *(word() for _ in range(40))])) for i, t in items]
+    got = contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i, _ in items]
