@@ -6,13 +6,16 @@ span, so words, shingles and windows cost a few vector operations and no Python
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -29,15 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; where that is unset (tests), in one made for this session."""
+    """A fresh path in the folder that spark.checkpoint.dir names. Where that is unset, on a local master only, in one made for this session and deleted with the process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_strandix_scratch", None)
         if not base:
+            if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = spark._strandix_scratch = tempfile.mkdtemp(prefix="strandix-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def filesystem(path: str):
+    """The file system of a path and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder; the plan above starts from reliable files."""
     sc = df.sparkSession.sparkContext
@@ -46,6 +59,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with columns _0, _1, ... and those names, so that no column of the caller's can clash with one of an operator's."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
+def text_key(text: Column) -> Column:
+    """The hash by which texts are told apart; a null text is as an empty one."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose doc_id and text aren't in gone(doc_id, h), nulls like values; columns as they were."""
+    doc_id, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    rows, names = plain(docs)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
+    kept = rows.join(gone, F.col(names[doc_id]).cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key(F.col(names[text])) == F.col("gone_h")), "left_anti")
+    return kept.toDF(*docs.columns)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

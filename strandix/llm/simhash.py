@@ -1,28 +1,32 @@
 """Operator 4, near-duplicates: SimHash fingerprints, navigable small-world graphs over Hamming distance, verified edges, union.
 
-1. Texts equal to the byte are one node. Each node has a 128-bit SimHash of its word pairs, made of vector operations over all texts of a slice.
-2. Nodes go to shards: in each of T tables the shard is given by a few sampled bits, so that near fingerprints meet in some shard with high
-   probability and a shard's size doesn't grow with the corpus. The number of bits follows the corpus's size and T follows from the bits and the
-   radius (``tables``): a pair just within the radius is missed by all tables with probability MISS at most, at every size. The work grows about
-   with the power 1.5 of the corpus, not with its square. This stands for sending every query to every shard.
-3. In each shard a navigable small-world graph is built by batches: each batch searches the graph so far by beam search for its nearest nodes and is
-   linked to them. Then every node is a query: from its own place in the graph the beam expands, doubled until no more than half of it lies
-   within the radius. A node with too many partners even for the widest beam is crowded.
-4. Pairs within the radius are candidates. They are verified by the exact Jaccard similarity of sets of word triples, first each node with its
+1. A document is a doc_id with a text. Texts equal to the byte are one node. Each node has a 128-bit SimHash of its word pairs, made of vector
+   operations over all texts of a slice.
+2. Nodes are dealt to shards by a hash of their number, so a crowd of alike texts is spread over all of them. There are SHARDS shards, more only where a
+   shard would hold over SHARD nodes. For each a navigable small-world graph is built by batches: each batch searches the graph so far by beam search for
+   its nearest nodes and is linked to them. A search begins at the nodes that share sampled bits with the query.
+3. Every node is a query and goes to every shard. Queries are bounded portions that meet the graph of a shard in one task each; graphs are files in the
+   shared folder. The beam expands, doubled until no more than half of it lies within the radius. A query with too many partners in
+   a shard even for the widest beam is crowded.
+4. Pairs within the radius are candidates. They are verified by the exact Jaccard similarity of sets of hashed word triples, first each node with its
    nearest partners; a pair whose ends are in one group by then needs no verification, as it can't change the groups; the others are verified next.
-   Crowded nodes are compared exactly with all nodes of their shards that aren't in their group by then, so partners have no cap.
-5. Verified edges are unioned into connected components; the least doc_id of a group is kept.
+   A pair that no beam held has two crowded ends: crowded nodes of different groups are compared exactly, in blocks, so partners have no cap.
+5. Verified edges are unioned into connected components; of a group the least doc_id, then the least text hash, is kept.
 
-``audit`` measures recall against exact search.
+Recall is audited by exact search of AUDITED queries among all nodes; where it is below LEAST_RECALL all beams are doubled and the search is repeated.
 
-Cases: null and empty texts are in no group, nor are rows without doc_id; rows of one doc_id are one document, of which the least text by its hash
-counts; a text of one word has one pair with an empty word; texts of fewer than three words are compared as one shingle; copies of one text are a
-group however short; an empty table gives no rows; other columns are ignored (``deduplicate`` keeps them).
+Every query goes to every shard, so beyond SHARDS * SHARD nodes the work grows with the nodes times the shards, nodes ** 2 / SHARD searches.
+
+Cases: null and empty texts are in no group, nor are rows without doc_id; rows of one doc_id with other texts are documents of their own, judged each by
+its text; repeated rows are one document; a text of one word has one pair with an empty word; texts of fewer than three words are compared as one
+shingle; copies of one text are a group however short; an empty table gives no rows; other columns are ignored (``deduplicate`` keeps them,
+whatever their names).
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +36,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandix.llm.common import U, Words, cut, mix, slices, table, utf8
+from strandix.llm.common import U, Words, cut, filesystem, mix, scratch, slices, table, utf8, without
 from strandix.llm.components import components
 
 RADIUS = 36
 JACCARD = 0.55
-SHARD = 16_384
-#: Share of the pairs just within the radius that may share no shard in any table.
-MISS = 0.02
+SHARDS = 6
+SHARD = 1 << 20
+#: Most queries that meet a shard's graph in one task.
+PORTION = 1 << 17
 NEAREST = 3
+AUDITED = 256
+LEAST_RECALL = 0.9
+BEAM, WIDEST = 32, 64
 
 _SPREAD = np.array([int.from_bytes(bytes((i >> b) & 1 for b in range(8)), "little") for i in range(256)], U)
 
@@ -78,25 +86,44 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x[..., 0].astype(np.int64) + x[..., 1]
 
 
-def tables(n: int, shard: int = SHARD, radius: int = RADIUS) -> list[np.ndarray]:
-    """Bit positions of each table for n nodes, so many that pairs within the radius meet."""
-    bits = max(0, math.ceil(math.log2(max(n, 1) / shard)))
-    if not bits:
-        return [np.zeros(0, np.int64)]
-    meet = math.comb(128 - radius, bits) / math.comb(128, bits)
-    count = math.ceil(math.log(MISS) / math.log(1 - meet))
-    rng = np.random.default_rng(4)
-    return [np.sort(rng.permutation(128)[:bits]) for _ in range(count)]
+_FULL = np.uint64(2**63)
+
 
+class Entries:
+    """Places where searches begin: of each of some tables by sampled bits, the first nodes that share them with the query."""
 
-_FULL = np.uint64(2**63)
+    def __init__(self, fp: np.ndarray, tables: int = 24, each: int = 2) -> None:
+        self.each, bits = each, max(1, int(math.log2(max(len(fp) / each, 2))))
+        rng, seen = np.random.default_rng(4), np.unpackbits(fp.view(np.uint8), axis=1)
+        self.tables = []
+        for _ in range(tables):
+            chosen = np.sort(rng.permutation(128)[:bits])
+            value = self._value(seen, chosen)
+            order = np.argsort(value, kind="stable").astype(np.int32)
+            self.tables.append((chosen, order, value[order]))
+
+    @staticmethod
+    def _value(bits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        return bits[:, chosen].astype(np.int64) @ (1 << np.arange(len(chosen)))
+
+    def __call__(self, q: np.ndarray) -> np.ndarray:
+        bits, out = np.unpackbits(np.ascontiguousarray(q).view(np.uint8), axis=1), []
+        for chosen, order, value in self.tables:
+            own = self._value(bits, chosen)
+            lo, hi = np.searchsorted(value, own), np.searchsorted(value, own, "right")
+            out += [np.where(lo + j < hi, order[np.minimum(lo + j, len(order) - 1)], -1) for j in range(self.each)]
+        return np.stack(out, axis=1).astype(np.int64)
 
 
 class Graph:
     """A navigable small-world graph over fingerprints; build and search work on many nodes at once."""
 
-    def __init__(self, fp: np.ndarray, links: int = 12, degree: int = 24, beam: int = 24, batch: int = 1024, radius: int = RADIUS) -> None:
+    def __init__(self, fp: np.ndarray, near: np.ndarray | None = None, links: int = 12, degree: int = 24, beam: int = 24, batch: int = 1024, radius: int = RADIUS) -> None:
         self.fp, self.degree, self.radius = fp, degree, radius
+        self.entries = Entries(fp)
+        if near is not None:
+            self.near = near
+            return
         n = len(fp)
         self.near = np.full((n, degree), -1, np.int32)
         done = min(n, 48)
@@ -104,7 +131,9 @@ class Graph:
         self._link(i, j)
         while done < n:
             q = np.arange(done, min(n, done + min(done, batch)))
-            ids, d = self.search(fp[q], np.tile(np.linspace(0, done - 1, 6).astype(np.int64), (len(q), 1)), beam)
+            start = self.entries(fp[q])
+            start[start >= done] = -1
+            ids, d = self.search(fp[q], np.concatenate([start, np.tile(np.linspace(0, done - 1, 6).astype(np.int64), (len(q), 1))], axis=1), beam)
             ids, d = ids[:, :links], d[:, :links]
             i, k = np.nonzero(ids >= 0)
             a, b = q[i], ids[i, k]
@@ -170,46 +199,40 @@ class Graph:
         keys[:, :-1][twice] = _FULL
         return np.sort(keys, axis=1)[:, :beam]
 
-    def partners(self, beam: int = 16, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs a < b within the radius and their distance, every node being a query, and the nodes of crowded places.
+    def within(self, q: np.ndarray, beam: int = BEAM, widest: int = WIDEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, distance) of the nodes found within the radius of each query, and the crowded queries.
 
-        A beam expands, doubled, until no more than half of it lies within the radius. A node whose beam of `most` is still that full is crowded: of
-        its partners only that beam is given, and ``across`` finds the others.
+        A beam expands, doubled, until no more than half of it lies within the radius. A query whose widest beam is still that full is crowded: of its
+        nodes only that beam is given.
         """
-        n = len(self.fp)
-        found, todo = [], np.arange(n)
-        start = np.concatenate([todo[:, None], self.near], axis=1)
-        while True:
+        n, found, todo, crowded = len(self.fp), [], np.arange(len(q)), []
+        while len(todo):
             full = []
             for i in range(0, len(todo), 4096):
-                q = todo[i : i + 4096]
-                ids, d = self.search(self.fp[q], start[q], beam)
-                within = (d <= self.radius) & (ids >= 0)
-                more = (within.sum(axis=1) > beam // 2) & (beam < n)
-                full.append(q[more])
-                r, k = np.nonzero(within & ~(more & (beam < most))[:, None])
-                found.append((q[r], ids[r, k], d[r, k]))
+                part = todo[i : i + 4096]
+                ids, d = self.search(q[part], np.concatenate([self.entries(q[part]), np.tile(np.linspace(0, n - 1, 4).astype(np.int64), (len(part), 1))], axis=1), beam)
+                near = (d <= self.radius) & (ids >= 0)
+                more = (near.sum(axis=1) > beam // 2) & (beam < n)
+                last = beam >= widest
+                (crowded if last else full).append(part[more])
+                r, k = np.nonzero(near & (last | ~more)[:, None])
+                found.append((part[r], ids[r, k], d[r, k]))
             todo = np.concatenate(full) if full else todo[:0]
-            if beam >= most or not len(todo):
-                break
             beam *= 2
-        a, b, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pair, at = np.unique(lo * n + hi, return_index=True)
-        at = at[lo[at] < hi[at]]
-        return lo[at], hi[at], d[at], todo
+        a, b, d = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        return a, b, d, np.concatenate(crowded) if crowded else np.zeros(0, np.int64)
 
 
-def across(fp: np.ndarray, queries: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact search: all pairs of a query and a node within the radius whose labels differ."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step = max(1, 2_000_000 // max(len(fp), 1))
-    for i in range(0, len(queries), step):
-        q = queries[i : i + step]
-        r, k = np.nonzero((distance(fp[q][:, None], fp[None]) <= radius) & (labels[q][:, None] != labels[None]))
-        a.append(q[r])
-        b.append(k)
-    return np.concatenate(a), np.concatenate(b)
+def exact(q: np.ndarray, fp: np.ndarray, radius: int, rows: int = 64, columns: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (query, node) within the radius, block by block."""
+    for j in range(0, len(fp), columns):
+        c0, c1 = (np.ascontiguousarray(fp[j : j + columns, i])[None] for i in (0, 1))
+        for i in range(0, len(q), rows):
+            d = np.bitwise_count(q[i : i + rows, :1] ^ c0)
+            d += np.bitwise_count(q[i : i + rows, 1:] ^ c1)
+            r, k = np.nonzero(d <= radius)
+            if len(r):
+                yield r + i, k + j
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -229,48 +252,83 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.unhex(F.md5("text")).alias("h"), "text").mapInArrow(run, "doc_id bigint, h binary, f0 bigint, f1 bigint")
 
 
-def shards(nodes: DataFrame, n: int, shard: int = SHARD, radius: int = RADIUS) -> DataFrame:
-    """nodes(id, f0, f1, ...) once for each table, with the table t and the shard s there; shards are whole within partitions."""
-    places, bits = [], 0
-    for i, chosen in enumerate(tables(n, shard, radius)):
-        # packbits puts bit 0 first in its byte, and bytes lie in little-endian order in the two integers.
-        value, bits = F.lit(0), len(chosen)
-        for b in chosen.tolist():
-            column, place = ("f0", "f1")[b // 64], (b % 64) // 8 * 8 + 7 - b % 8
-            value = value * 2 + F.shiftrightunsigned(F.col(column), place).bitwiseAND(F.lit(1))
-        places.append(F.struct(F.lit(i).alias("t"), value.cast("bigint").alias("s")))
-    spread = nodes.withColumn("at", F.explode(F.array(*places))).select(*nodes.columns, F.col("at.t").alias("t"), F.col("at.s").alias("s"))
-    # The work is in the graphs, not in the bytes: as many partitions as there are shards, whatever their size.
-    return spread.repartition(min(max(12, len(places) * 2**bits), 20_000), "t", "s")
-
-
-def _sorted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    pdf = pdf.iloc[np.argsort(mix(pdf["id"].to_numpy().view(U)))]
-    return pdf, np.ascontiguousarray(np.column_stack([pdf["f0"].to_numpy(), pdf["f1"].to_numpy()])).view(U)
-
-
-def candidates(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """nodes(id, f0, f1) to pairs (a, b, d), a < b, found within the radius in some shard, and (a, a, 0) for each node a in a crowded place."""
+def _array(pdf: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(np.column_stack([pdf["f0"].to_numpy(), pdf["f1"].to_numpy()])).view(U)
+
+
+def graphs(nodes: DataFrame, n: int, shard: int = SHARD, radius: int = RADIUS) -> list[tuple[int, str]]:
+    """nodes(id, f0, f1) to (shard, file) of each graph. A file is named by the attempt that wrote it and known by the committed rows only."""
+    path, count = scratch(nodes.sparkSession, "graphs"), max(SHARDS, -(-n // shard))
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # In an order of no meaning, so that the graph grows everywhere at once.
+        pdf = pdf.iloc[np.argsort(mix(pdf["id"].to_numpy().view(U)))]
+        fp = _array(pdf)
+        g = Graph(fp, radius=radius)
+        files, root = filesystem(path)
+        files.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.graph"
+        with files.open_output_stream(f"{root}/{name}") as out:
+            out.write(np.array([len(fp), g.degree], np.int64).tobytes() + pdf["id"].to_numpy().astype(np.int64).tobytes())
+            out.write(fp.tobytes())
+            out.write(g.near.tobytes())
+        return pd.DataFrame({"s": [key[0]], "file": [f"{path}/{name}"]})
+
+    dealt = nodes.select("id", "f0", "f1", F.pmod(F.xxhash64("id"), F.lit(count)).alias("s"))
+    built = dealt.repartition(min(8 * count, 20_000), "s").groupBy("s").applyInPandas(build, "s bigint, file string")
+    return [(r.s, r.file) for r in cut(built).collect()]
+
+
+def load(file: str, radius: int) -> tuple[np.ndarray, Graph]:
+    """A graph's node ids and the graph."""
+    files, at = filesystem(file)
+    with files.open_input_file(at) as f:
+        raw = f.read()
+    n, degree = np.frombuffer(raw, np.int64, 2).tolist()
+    ids = np.frombuffer(raw, np.int64, n, 16)
+    fp = np.frombuffer(raw, U, 2 * n, 16 + 8 * n).reshape(n, 2)
+    return ids, Graph(fp, np.frombuffer(raw, np.int32, n * degree, 16 + 24 * n).reshape(n, degree), degree=degree, radius=radius)
+
+
+def candidates(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD, beam: int = BEAM, files: list[tuple[int, str]] | None = None, portion: int = PORTION) -> DataFrame:
+    """nodes(id, f0, f1) to pairs (a, b, d), a < b, found within the radius, every node a query to every shard, and (a, a, 0) for each node a crowded in some shard."""
+    where = dict(files if files is not None else graphs(nodes, n, shard, radius))
+    portions = max(4, -(-n // portion))
+
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, g = load(where[key[0]], radius)
+        own = pdf["id"].to_numpy()
+        a, b, d, crowded = g.within(_array(pdf), beam, max(WIDEST, 2 * beam))
+        a, b, crowded = own[a], ids[b], own[crowded]
+        other = a != b
+        a, b, d = a[other], b[other], d[other]
+        return pd.DataFrame({"a": np.concatenate([np.minimum(a, b), crowded]), "b": np.concatenate([np.maximum(a, b), crowded]), "d": np.concatenate([d, np.zeros(len(crowded), np.int64)]).astype(np.int32)})
+
+    if not where:
+        return nodes.sparkSession.createDataFrame([], "a bigint, b bigint, d int")
+    sent = nodes.select("id", "f0", "f1", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(portions)).alias("p"), F.explode(F.array(*[F.lit(s).cast("bigint") for s in where])).alias("s"))
+    # The work is in the searches, not in the bytes: many partitions, so that few hold two cells.
+    return sent.repartition(min(8 * portions * len(where), 20_000), "s", "p").groupBy("s", "p").applyInPandas(pairs, "a bigint, b bigint, d int").distinct()
+
+
+def crossings(crowded: DataFrame, n: int, radius: int = RADIUS, block: int = 1 << 14) -> DataFrame:
+    """crowded(id, f0, f1, label), n rows, to all pairs (a, b) of them within the radius whose labels differ, by exact search of blocks against blocks."""
+    blocks = -(-n // block)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, fp = _sorted(pdf)
-        ids = pdf["id"].to_numpy()
-        a, b, d, crowded = Graph(fp, radius=radius).partners()
-        return pd.DataFrame({"a": np.concatenate([np.minimum(ids[a], ids[b]), ids[crowded]]), "b": np.concatenate([np.maximum(ids[a], ids[b]), ids[crowded]]), "d": np.concatenate([d, np.zeros(len(crowded), np.int64)]).astype(np.int32)})
+        fp, ids, label, k, i = _array(pdf), pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["k"].to_numpy(), pdf["i"].iloc[0]
+        left, right = np.flatnonzero(k == i), np.flatnonzero(k == pdf["j"].iloc[0])
+        out = [np.zeros((0, 2), np.int64)]
+        for r, c in exact(fp[left], fp[right], radius):
+            r, c = left[r], right[c]
+            differ = label[r] != label[c]
+            out.append(np.column_stack([ids[r[differ]], ids[c[differ]]]))
+        both = np.concatenate(out)
+        return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)})
 
-    return shards(nodes.select("id", "f0", "f1"), n, shard, radius).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint, d int").distinct()
-
-
-def crossings(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """nodes(id, f0, f1, label, crowded) to all pairs (a, b) within the radius in some shard of a crowded node and one of another label."""
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, fp = _sorted(pdf)
-        ids = pdf["id"].to_numpy()
-        a, b = across(fp, np.flatnonzero(pdf["crowded"].to_numpy()), pdf["label"].to_numpy(), radius)
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
-
-    return shards(nodes, n, shard, radius).groupBy("t", "s").applyInPandas(pairs, "a bigint, b bigint").distinct()
+    numbered = crowded.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    cells = numbered.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("k", x).alias("i"), F.greatest("k", x).alias("j"))))).select("id", "f0", "f1", "label", "k", "at.i", "at.j")
+    return cells.groupBy("i", "j").applyInPandas(pairs, "a bigint, b bigint").distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -317,17 +375,22 @@ def verify(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataF
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shard: int = SHARD) -> DataFrame:
-    """(doc_id, kept): each document that is a copy of another, and the document kept for its group, the least doc_id."""
-    printed = fingerprints(docs)
-    printed = printed.groupBy("doc_id").agg(F.min(F.struct("h", "f0", "f1")).alias("p")).select("doc_id", "p.*")
-    printed = cut(printed.withColumn("text_id", F.min("doc_id").over(Window.partitionBy("h"))))
-    nodes = printed.where("doc_id = text_id").select(F.col("doc_id").alias("id"), "f0", "f1")
+def classes(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shard: int = SHARD) -> DataFrame:
+    """(doc_id, h, kept, kept_h) of each document in a group of several: doc_id and text hash, and those of the one that is kept for its group."""
+    printed = cut(fingerprints(docs).dropDuplicates(["doc_id", "h"]))
+    texts = printed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.count("*").alias("n"))
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
+    nodes = texts.select("id", "f0", "f1")
     n = nodes.count()
-    marks = cut(candidates(nodes, n, radius, shard))
+    files, beam = graphs(nodes, n, shard, radius), BEAM
+    while True:
+        marks = cut(candidates(nodes, n, radius, shard, beam, files))
+        right, there = audit(nodes, marks, radius)
+        if right >= LEAST_RECALL * there or beam >= 1024:
+            break
+        beam *= 2
     found = marks.where("a <> b")
-    crowded = marks.where("a = b").select(F.col("a").alias("id"), F.lit(True).alias("crowded"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text")).where("_id IS NOT NULL AND length(text) > 0")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND length(text) > 0").withColumn("h", F.unhex(F.md5("text")))
 
     def sets_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         touched = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
@@ -335,10 +398,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shar
             touched = cut(touched.join(known.select("id"), "id", "left_anti"))
             if touched.isEmpty():
                 return known.where("false")
-        wanted = touched.join(printed.select(F.col("doc_id").alias("id"), "h"), "id")
-        # Joined by id alone, so that texts of one id are in one partition and lose their repetitions there, without another shuffle.
-        own = F.xxhash64(F.unhex(F.md5("text"))).bitwiseXOR(F.xxhash64("h")) == 0
-        return cut(shingle_sets(rows.join(wanted, F.col("_id") == F.col("id")).where(own).select("id", "text").dropDuplicates(["id"])))
+        wanted = touched.join(texts.select("id", "doc_id", "h"), "id")
+        # Repetitions of a row are in one partition after the join, so they go without another shuffle.
+        return cut(shingle_sets(rows.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("id", "text")))
 
     ends = found.select("a", "b", "d").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     nearest = cut(ends.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -346,33 +408,55 @@ def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shar
     label = cut(components(cut(verify(nearest, sets, jaccard))))
     la, lb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = found.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    if not crowded.isEmpty():
-        marked = nodes.join(label, "id", "left").join(crowded, "id", "left").select("id", "f0", "f1", F.coalesce("component", "id").alias("label"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
-        rest = rest.unionAll(crossings(marked, n, radius, shard)).distinct()
+    crowded = cut(marks.where("a = b").select(F.col("a").alias("id")).join(nodes, "id").join(label, "id", "left").select("id", "f0", "f1", F.coalesce("component", "id").alias("label")))
+    if n_crowded := crowded.count():
+        rest = rest.unionAll(crossings(crowded, n_crowded, radius)).distinct()
     rest = cut(rest.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
     if rest.isEmpty():
         bridges = rest.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     else:
-        # Between groups of the first round, so that what is unioned again is small. An end that only `crossings` found has no set yet.
+        # Between groups of the first round, so that what is unioned again is small. An end that only `crossings` found may have no set yet.
         good = verify(rest.select("a", "b"), sets.unionAll(sets_of(rest, sets)), jaccard)
         bridges = good.join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     over = components(bridges).select(F.col("id").alias("c1"), F.col("component").alias("c2"))
-    merged = printed.select("doc_id", "text_id").join(label, F.col("text_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "text_id").alias("c"))
-    return merged.join(over, F.col("c") == F.col("c1"), "left").select("doc_id", F.coalesce("c2", "c").alias("kept")).where("doc_id <> kept")
+    merged = texts.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).join(over, F.col("c") == F.col("c1"), "left")
+    merged = cut(merged.select("h", "doc_id", "n", F.coalesce("c2", "c").alias("c")))
+    several = merged.groupBy("c").agg(F.sum("n").alias("size"), F.min(F.struct("doc_id", "h")).alias("least")).where("size > 1")
+    named = merged.select("h", "c").join(several, "c").select("h", F.col("least.doc_id").alias("kept"), F.col("least.h").alias("kept_h"))
+    return printed.select("doc_id", "h").join(named, "h").select("doc_id", "h", "kept", "kept_h")
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, shard: int = SHARD) -> DataFrame:
+    """(doc_id, kept): each document that is a copy of another, and the document kept for its group, the least doc_id."""
+    return classes(docs, radius, jaccard, shard).where("doc_id <> kept").select("doc_id", "kept").distinct()
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents without the copies, with their own columns; of rows that are equal in doc_id and text all stay if one does."""
-    gone = groups(docs).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    """The documents without the copies, with their own columns. A row goes if its doc_id with its text is a copy; of rows that are equal in both all stay if one does."""
+    gone = classes(docs).where("doc_id <> kept OR h <> kept_h").select("doc_id", "h")
+    return without(docs, gone)
+
 
+def audit(nodes: DataFrame, marks: DataFrame, radius: int = RADIUS, queries: int = AUDITED) -> tuple[int, int]:
+    """(pairs found, pairs there are) of some queries, by exact search of all nodes; the queries are those of least hash. Pairs of two crowded nodes count as found, since they are compared exactly."""
+    some = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).toPandas()
+    ids, q = some["id"].to_numpy(), _array(some)
 
-def audit(nodes: DataFrame, found: DataFrame, radius: int = RADIUS, queries: int = 500) -> tuple[int, int]:
-    """(pairs found, pairs there are) for some queries, by exact search of all nodes; the queries are those of least hash."""
-    some = nodes.orderBy(F.xxhash64("id")).limit(queries).select(F.col("id").alias("q"), F.col("f0").alias("q0"), F.col("f1").alias("q1"))
-    exact = nodes.crossJoin(F.broadcast(some)).where((F.col("id") != F.col("q")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("q1"))) <= radius))
-    exact = exact.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
-    return exact.join(found, ["a", "b"], "left_semi").count(), exact.count()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            fp = np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()]).view(U)
+            for r, k in exact(q, fp, radius):
+                a, b = ids[r], own[k]
+                a, b = a[a != b], b[a != b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    there = cut(nodes.select("id", "f0", "f1").mapInArrow(search, "a bigint, b bigint").distinct())
+    crowded = marks.where("a = b").select("a")
+    lost = there.join(marks.where("a <> b").select("a", "b"), ["a", "b"], "left_anti")
+    lost = lost.subtract(lost.join(crowded, "a", "left_semi").join(crowded.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"))
+    every = there.count()
+    return every - lost.count(), every
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
