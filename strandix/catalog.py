@@ -13,7 +13,9 @@ from strandix.functions import vectors as V
 from strandix.operators import chunks as C
 from strandix.operators import embedding as E
 from strandix.operators import evaluate, keywords, prompts
-from strandix.operators.search import candidates, search, select_diverse
+from strandix.operators.search import select_diverse
+from strandix.plans.qa import Retriever
+from strandix.sources.tables import shared_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +47,34 @@ def whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store(spark: SparkSession, d: str) -> DataFrame:
-    return whole(spark, d).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding"), "ord")
+    """Every document with a vector: there are fewer vectors than documents, so they are dealt out again and again."""
+    vectors = read(spark, d, "embeddings")
+    n = max(1, vectors.count())
+    return whole(spark, d).withColumn("vec_id", F.pmod("ord", F.lit(n))).join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
+_RETRIEVERS: dict[tuple[str, str], Retriever] = {}
+
+
+def retriever(spark: SparkSession, d: str) -> Retriever:
+    """The tables' retriever, cached as a service would hold it; the two last asked for are kept."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RETRIEVERS:
+        while len(_RETRIEVERS) > 1:
+            old = next(iter(_RETRIEVERS))
+            gone = _RETRIEVERS.pop(old)
+            if old[0] == key[0]:
+                gone.free()
+        _RETRIEVERS[key] = Retriever.of(store(spark, d))
+    return _RETRIEVERS[key]
+
+
+def pool(spark: SparkSession, d: str, questions: DataFrame, options: RankingOptions = RankingOptions()) -> DataFrame:  # noqa: B008
+    return retriever(spark, d).search(questions, options)
+
+
+def hits(spark: SparkSession, d: str, questions: DataFrame, options: RankingOptions = RankingOptions()) -> DataFrame:  # noqa: B008
+    return select_diverse(pool(spark, d, questions, options), options.per_source_limit, options.top_k)
 
 
 def one_question(spark: SparkSession, d: str, text: str = QUESTION) -> DataFrame:
@@ -65,7 +94,7 @@ dl AS (SELECT ord, sum(c) AS ct, sum(h) AS ht FROM tok GROUP BY ord),
 st AS (SELECT (SELECT count(*) FROM chunk) AS n, (SELECT sum(c) FROM tok) AS tc, (SELECT sum(h) FROM tok) AS th)
 """
 _WHOLE = "chunk AS (SELECT doc_id AS ord, source || '#' || doc_id AS id, source, doc_id::INTEGER AS chunk_index, lang AS heading, text AS content FROM documents)"
-_STORE = "chunk AS (SELECT doc_id AS ord, source || '#' || doc_id AS id, source, doc_id::INTEGER AS chunk_index, lang AS heading, text AS content, embedding FROM documents JOIN embeddings ON vec_id = doc_id)"
+_STORE = "chunk AS (SELECT doc_id AS ord, source || '#' || doc_id AS id, source, doc_id::INTEGER AS chunk_index, lang AS heading, text AS content, embedding FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings))"
 _ONE = "q AS (SELECT vec_id AS question_id, '{}' AS question, embedding AS qe FROM embeddings WHERE vec_id = 0)"
 _BENCH = "q AS (SELECT item_id AS question_id, text AS question, embedding AS qe FROM benchmark JOIN embeddings ON vec_id = item_id)"
 
@@ -235,42 +264,42 @@ def embedding_dimension(spark, d):
 
 @query(f"WITH {_STORE}, {_ONE.format(QUESTION)}, {_search(weight=0)} {_OUT} cand")
 def vector_topk(spark, d):
-    return shown(candidates(store(spark, d), one_question(spark, d), RankingOptions(keyword_weight=0)))
+    return shown(pool(spark, d, one_question(spark, d), RankingOptions(keyword_weight=0)))
 
 
 @query(f"WITH {_STORE}, {_ONE.format(QUESTION)}, {_search(weight=1, pool=20, top=10, per=2)} {_OUT} cand")
 def bm25_topk(spark, d):
-    return shown(candidates(store(spark, d), one_question(spark, d), RankingOptions(keyword_weight=1, top_k=10)))
+    return shown(pool(spark, d, one_question(spark, d), RankingOptions(keyword_weight=1, top_k=10)))
 
 
 @query(f"WITH {_WHOLE}, {_BENCH}, {_POSTINGS}, {_bm25(0)} SELECT question_id, ord, round(raw, 9) AS raw FROM bm")
 def bm25_content_only(spark, d):
-    return keywords.KeywordIndex.build(whole(spark, d)).bm25(benchmark_questions(spark, d), 0).select("question_id", "ord", F.round("raw", 9).alias("raw"))
+    return retriever(spark, d).index.bm25(benchmark_questions(spark, d), 0).select("question_id", "ord", F.round("raw", 9).alias("raw"))
 
 
 @query(f"WITH {_STORE}, {_ONE.format(QUESTION)}, {_search()} {_OUT} hits")
 def hybrid_search(spark, d):
-    return shown(search(store(spark, d), one_question(spark, d))[1])
+    return shown(hits(spark, d, one_question(spark, d)))
 
 
 @query(f"WITH {_STORE}, {_ONE.format(QUESTION)}, {_search(least=0.3)} {_OUT} hits")
 def hybrid_min_score(spark, d):
-    return shown(search(store(spark, d), one_question(spark, d), RankingOptions(min_score=0.3))[1])
+    return shown(hits(spark, d, one_question(spark, d), RankingOptions(min_score=0.3)))
 
 
 @query(f"WITH {_STORE}, {_ONE.format('zzzz qqqq 日本')}, {_search()} {_OUT} hits")
 def hybrid_no_keyword(spark, d):
-    return shown(search(store(spark, d), one_question(spark, d, "zzzz qqqq 日本"))[1])
+    return shown(hits(spark, d, one_question(spark, d, "zzzz qqqq 日本")))
 
 
 @query(f"WITH {_STORE}, {_BENCH}, {_search()} {_OUT} cand")
 def batch_candidates(spark, d):
-    return shown(search(store(spark, d), benchmark_questions(spark, d))[0])
+    return shown(pool(spark, d, benchmark_questions(spark, d)))
 
 
 @query(f"WITH {_STORE}, {_BENCH}, {_search()} {_OUT} hits")
 def batch_questions_search(spark, d):
-    return shown(search(store(spark, d), benchmark_questions(spark, d))[1])
+    return shown(hits(spark, d, benchmark_questions(spark, d)))
 
 
 @query("WITH r AS (SELECT 0::BIGINT AS question_id, doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS n FROM r) SELECT question_id, doc_id, source, row_number() OVER (ORDER BY rank)::INTEGER AS rank FROM c WHERE n <= 3")
@@ -286,13 +315,13 @@ _CONTEXT = f"ctx AS (SELECT question_id, string_agg({_BLOCK}, chr(10) || chr(10)
 
 @query(f"WITH {_STORE}, {_BENCH}, {_search()}, {_CONTEXT} SELECT question_id, context FROM ctx")
 def context_blocks(spark, d):
-    return prompts.build_context(search(store(spark, d), benchmark_questions(spark, d))[1])
+    return prompts.build_context(hits(spark, d, benchmark_questions(spark, d)))
 
 
 @query(f"WITH {_STORE}, {_BENCH}, {_search()}, {_CONTEXT} SELECT question_id, '{PROMPT.system}' AS system, '参考内容：' || chr(10) || context || chr(10) || chr(10) || '问题：' || chr(10) || question AS user_content FROM ctx JOIN q USING (question_id)")
 def prompt_messages(spark, d):
     questions = benchmark_questions(spark, d)
-    rows = prompts.build_context(search(store(spark, d), questions)[1]).join(questions, "question_id")
+    rows = prompts.build_context(hits(spark, d, questions)).join(questions, "question_id")
     m = prompts.build_messages(F.col("context"), F.col("question"), PROMPT)
     return rows.select("question_id", m[0]["content"].alias("system"), m[1]["content"].alias("user_content"))
 
@@ -302,13 +331,13 @@ def prompt_messages(spark, d):
 )
 def answers(spark, d):
     questions = benchmark_questions(spark, d)
-    hits = search(store(spark, d), questions, RankingOptions(min_score=0.72))[1]
-    return prompts.answer(questions, hits, lambda m: f"seen {len(m[1]['content'])}", PROMPT).select("question_id", "answer", "no_answer_reason")
+    found = hits(spark, d, questions, RankingOptions(min_score=0.72))
+    return prompts.answer(questions, found, lambda m: f"seen {len(m[1]['content'])}", PROMPT).select("question_id", "answer", "no_answer_reason")
 
 
 @query(f"WITH {_STORE}, {_ONE.format(QUESTION)}, {_search()} SELECT question_id, rank::INTEGER AS rank, lpad(rank::VARCHAR, 2, ' ') || '  ' || printf('%.4f', score) || '  ' || rpad(id, max(length(id)) OVER ()::INTEGER, ' ') || '  ' || replace(CASE WHEN length(content) > 40 THEN substring(content, 1, 37) || '...' ELSE content END, chr(10), ' ') AS line FROM hits")
 def hit_lines(spark, d):
-    return prompts.hit_table(search(store(spark, d), one_question(spark, d))[1])
+    return prompts.hit_table(hits(spark, d, one_question(spark, d)))
 
 
 @query()
@@ -319,21 +348,22 @@ def ingest_fingerprint(spark, d):
 
 @query("SELECT doc_id, source FROM documents WHERE source NOT IN ('src0', 'src3')")
 def exclude_sources(spark, d):
-    gone = spark.createDataFrame([("src0",), ("src3",)], "source string")
-    return read(spark, d, "documents").select("doc_id", "source").join(F.broadcast(gone), "source", "left_anti")
+    from strandix.sources import documents as D
+
+    return D.excluded(read(spark, d, "documents").select("doc_id", "source"), ["src0", "src3"])
 
 
 @query(f"WITH v AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS term FROM documents), t AS (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) SELECT item_id AS question_id, count(DISTINCT t.term) AS n_terms, count(DISTINCT v.term) AS n_known FROM t LEFT JOIN v ON t.term = v.term GROUP BY 1")
 def vocabulary_gate(spark, d):
-    vocabulary = keywords.postings(whole(spark, d)).where("content_tf > 0").select(F.col("term").alias("known")).distinct()
-    terms = keywords.question_terms(read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")))
-    return terms.join(vocabulary, F.col("term") == F.col("known"), "left").groupBy("question_id").agg(F.count("term").alias("n_terms"), F.count("known").alias("n_known"))
+    questions = read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return keywords.known_terms(questions, keywords.doc_freq(keywords.postings(whole(spark, d))).where("df_content > 0"))
 
 
-@query(f"WITH {_WHOLE} SELECT count(*) AS documents, count(*) FILTER (sha1(content) IN (SELECT sha1(text) FROM documents JOIN embeddings ON vec_id = doc_id)) AS cached, count(*) FILTER (sha1(content) NOT IN (SELECT sha1(text) FROM documents JOIN embeddings ON vec_id = doc_id)) AS embedded FROM chunk")
+@query(f"WITH {_WHOLE}, k AS (SELECT sha1(text) AS h FROM documents JOIN embeddings ON vec_id = doc_id) SELECT count(*) AS records, count(*) FILTER (sha1(content) IN (SELECT h FROM k)) AS cached, count(*) FILTER (sha1(content) NOT IN (SELECT h FROM k)) AS embedded FROM chunk")
 def row_counters(spark, d):
-    known = _cache(spark, d).select("hash").distinct().withColumn("known", F.lit(True))
-    return _hashed(spark, d).join(known, "hash", "left").agg(F.count("*").alias("documents"), F.count_if(F.col("known")).alias("cached"), F.count_if(F.col("known").isNull()).alias("embedded"))
+    from strandix.operators import ingest as I
+
+    return I.counters(_hashed(spark, d), _cache(spark, d))
 
 
 @query("WITH e AS (SELECT d.doc_id, d.source FROM documents d), r AS (SELECT b.label AS question_id, row_number() OVER (PARTITION BY b.label ORDER BY b.vec_id) AS rank, e.source FROM embeddings b JOIN e ON e.doc_id = b.vec_id), h AS (SELECT question_id, source, min(rank) AS rank FROM r WHERE rank <= 10 GROUP BY ALL), x AS (SELECT DISTINCT question_id, source FROM r) SELECT x.question_id, count(*) AS n_expected, count(rank) AS n_found, count(rank)::DOUBLE / count(*) AS recall, coalesce(1.0::DOUBLE / min(rank), 0) AS reciprocal_rank FROM x LEFT JOIN h USING (question_id, source) GROUP BY 1")
@@ -344,7 +374,7 @@ def retrieval_eval(spark, d):
     return evaluate.recall(rows.where("rank <= 10"), rows.select("question_id", "source"))
 
 
-@query("SELECT doc_id AS ord, source || '#' || doc_id AS id, source, lang AS heading, text AS content, round(embedding[1]::DOUBLE, 6) AS first, 64 AS dim FROM documents JOIN embeddings ON vec_id = doc_id")
+@query("SELECT doc_id AS ord, source || '#' || doc_id AS id, source, lang AS heading, text AS content, round(embedding[1]::DOUBLE, 6) AS first, 64 AS dim FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)")
 def store_round_trip(spark, d):
     """The store as newline-delimited JSON and back."""
     from strandix.sources import store as S
@@ -383,12 +413,10 @@ def portable_paths(spark, d):
 def stream_ingest(spark, d):
     """All documents as a file stream, ingested batch by batch until none are left."""
     import os
-    import tempfile
 
     from strandix.streaming import flows
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/stream-{os.urandom(6).hex()}"
+    path = shared_path(spark, "stream")
     schema = read(spark, d, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet" if os.path.isfile(f"{d}/documents.parquet") else "*.parquet").option("maxFilesPerTrigger", 4).parquet(d if os.path.isfile(f"{d}/documents.parquet") else f"{d}/documents.parquet")
     rows = source.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), F.col("text").alias("content"), F.col("doc_id").alias("doc_ord"))

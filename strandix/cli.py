@@ -21,6 +21,16 @@ from strandix.sources.documents import load_documents
 USAGE = 'usage: python -m strandix.cli ingest | query "a question"'
 
 
+def duration(seconds: float) -> str:
+    """Milliseconds below a second, else seconds with two decimals."""
+    return f"{seconds * 1000:.0f} ms" if seconds < 1 else f"{seconds:.2f} s"
+
+
+def colored(text: str, code: str, out: TextIO, env: Mapping[str, str] = os.environ) -> str:
+    """In a terminal's colours, unless it isn't one or NO_COLOR is set."""
+    return f"\x1b[{code}m{text}\x1b[0m" if getattr(out, "isatty", lambda: False)() and not env.get("NO_COLOR") else text
+
+
 def read_question(args: Sequence[str], given: TextIO) -> str:
     """The arguments, else all lines of standard input, else what is typed."""
     if text := " ".join(args).strip():
@@ -35,7 +45,7 @@ def run_ingest(spark: SparkSession, env: Mapping[str, str], out: TextIO, embedde
     began = time.monotonic()
     tell = lambda stage, facts: print(stage, *(f"{k}={v}" for k, v in facts.items()), file=out)
     r = ingest(docs, settings.store_path(env), model, embedder or providers.create_embedder(model, settings.runtime(env)), settings.ingest_options(env), progress=tell)
-    print(f"{r.skipped or 'done'}: {r.documents} documents, {r.chunks} chunks, {r.cached} cached, {r.embedded} embedded, {time.monotonic() - began:.2f}s", file=out)
+    print(f"{r.skipped or 'done'}: {r.documents} documents, {r.chunks} chunks, {r.cached} cached, {r.embedded} embedded, {duration(time.monotonic() - began)}", file=out)
     return 0
 
 
@@ -44,16 +54,21 @@ def run_query(spark: SparkSession, question: str, env: Mapping[str, str], out: T
     retriever = Retriever.open(spark, settings.store_path(env), model)
     asked = embed_questions(spark.createDataFrame([(0, question)], "question_id long, question string"), embedder or providers.create_embedder(model, runtime)).persist()
     hits = select_diverse(retriever.search(asked, options), options.per_source_limit, options.top_k).persist()
-    lines = hit_table(hits).orderBy("rank").collect()
-    for row in lines:
-        print(row.line, file=out)
-    if not lines:
-        from strandix.config import UNKNOWN_ANSWER
-
-        print(UNKNOWN_ANSWER, file=out)
-        return 0
-    rows = build_context(hits).join(asked, "question_id")
-    messages = [m.asDict() for m in rows.select(build_messages(rows["context"], rows["question"])).first()[0]]
+    try:
+        lines = hit_table(hits).orderBy("rank").collect()
+        for row in lines:
+            print(colored(row.line, "2", out, env), file=out)
+        if not lines:
+            from strandix.config import UNKNOWN_ANSWER
+
+            print(UNKNOWN_ANSWER, file=out)
+            return 0
+        rows = build_context(hits).join(asked, "question_id")
+        messages = [m.asDict() for m in rows.select(build_messages(rows["context"], rows["question"])).first()[0]]
+    finally:
+        hits.unpersist()
+        asked.unpersist()
+        retriever.free()
     # Tokens of a single answer are told on the driver as they come.
     stream = env_bool("STREAM", True, env)
     tell = (lambda t: print(t, end="", flush=True, file=out)) if stream else None

@@ -1,114 +1,43 @@
-"""Text functions as Columns: all of them built-in expressions."""
+"""Text functions as Columns: built-in expressions, and Arrow-fed functions where an expression would be interpreted or quadratic."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WHITE = r"[\s\u000b   -     　﻿]"
-HEADING = r"^(#{1,6})[\s   -     　﻿]+([^\n\r  ]*)\z"
-
+from strandix.functions import kernels as K
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of the value, which is computed once; written into lambdas as it is, it would be computed for each of their elements."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Runs of a-z and 0-9, pairs of neighbouring Han characters, and Han characters that stand alone; group 1 looks ahead, so pairs may overlap.
+_TOKEN = r"(?=(\p{IsHan}{2}|(?<!\p{IsHan})\p{IsHan}(?!\p{IsHan})|[a-z0-9]+))(?:\p{IsHan}|[a-z0-9]+)"
 
 
 def text_trim(text: Column) -> Column:
     """Trims every Unicode white space, line ends and the byte order mark."""
-    return F.regexp_replace(text, rf"^{_WHITE}+|{_WHITE}+\z", "")
+    return F.trim(text, F.lit(K.WHITE))
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-case keyword tokens: runs of a-z and 0-9, and of Han characters their overlapping pairs (a single one as it is)."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{IsHan}+|[a-z0-9]+"), F.lit(0))
-    pairs = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda run: F.when(run.rlike(r"^\p{IsHan}{2}"), pairs(run)).otherwise(F.array(run))))
+    """Lower-case keyword tokens: runs of a-z and 0-9, and of Han characters their overlapping pairs (a single one as it is). One expression, compiled."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(1))
 
 
 def term_counts(tokens: Column) -> Column:
-    """Array of (term, count), by term: runs of the sorted tokens."""
-
-    def runs(words: Column) -> Column:
-        new = lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2))
-        firsts = F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), new)).otherwise(F.array().cast("array<int>"))
-        count = lambda at, i, k: F.coalesce(F.get(at, k + 1), F.size(words) + 1) - i
-        return let(firsts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i - 1).alias("term"), count(at, i, k).alias("count"))))
-
-    return let(F.array_sort(tokens), runs)
+    """Array of (term, count), by term."""
+    return F.arrow_udf(K.each(K.counted, K.TERMS), "array<struct<term:string,count:int>>")(tokens)
 
 
 def hard_split(text: Column, size: int, overlap: int) -> Column:
     """Windows of `size` characters that overlap, trimmed, without empty ones; a text that fits stays as it is."""
+    import pyarrow as pa
+
     if size < 1 or not 0 <= overlap < size:
         raise ValueError(f"need size >= 1 and 0 <= overlap < size, not {size} and {overlap}")
-    step = size - overlap
-
-    def cuts(whole: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.ceil((F.length(whole) - size) / step).cast("int") * step, F.lit(step))
-        windows = F.filter(F.transform(starts, lambda i: text_trim(F.substring(whole, i + 1, F.lit(size)))), lambda x: x != "")
-        return F.when(F.length(whole) <= size, F.array(whole)).otherwise(windows)
-
-    return let(text, cuts)
-
-
-def pack(paragraphs: Column, size: int, overlap: int) -> Column:
-    """Joins paragraphs by blank lines as long as they fit; longer ones are split hard on their own."""
-    state = lambda out, buf: F.struct(out.alias("out"), buf.alias("buf"))
-    flush = lambda s: F.when(s["buf"] != "", F.array_append(s["out"], s["buf"])).otherwise(s["out"])
-
-    def step(s: Column, p: Column) -> Column:
-        fits = F.length(s["buf"]) + F.length(p) + 2 <= size
-        out = F.when(fits, s["out"]).when(F.length(p) > size, F.concat(flush(s), hard_split(p, size, overlap))).otherwise(flush(s))
-        buf = F.when(fits, F.when(s["buf"] != "", F.concat(s["buf"], F.lit("\n\n"), p)).otherwise(p)).when(F.length(p) > size, F.lit("")).otherwise(p)
-        return state(out, buf)
-
-    return F.aggregate(paragraphs, state(F.array().cast("array<string>"), F.lit("")), step, flush)
-
-
-def paragraphs(body: Column) -> Column:
-    return F.filter(F.transform(F.split(body, r"\n{2,}"), text_trim), lambda p: p != "")
-
-
-def sections(text: Column) -> Column:
-    """Array of (heading, body): runs of lines below Markdown headings, with the path of headings above them.
-
-    The fold runs over a text's headings, not over its lines, so long texts cost no quadratic copying of lines.
-    """
-    entry = "struct<level:int,title:string>"
-
-    def headings(lines: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).rlike(HEADING))
-        part = lambda i, n: F.regexp_extract(F.get(lines, i - 1), HEADING, n)
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.length(part(i, 1)).alias("level"), text_trim(part(i, 2)).alias("title")))
-
-    def paths(heads: Column) -> Column:
-        """Each heading's path: the headings of lower levels that still hold, then its own title."""
-        state = lambda stack, out: F.struct(stack.alias("stack"), out.alias("out"))
-        push = lambda s, h: F.array_append(F.filter(s["stack"], lambda e: e["level"] < h["level"]), F.struct(h["level"].alias("level"), h["title"].alias("title")))
-        step = lambda s, h: let(push(s, h), lambda stack: state(stack, F.array_append(s["out"], F.array_join(F.transform(stack, lambda e: e["title"]), " > "))))
-        return F.aggregate(heads, state(F.array().cast(f"array<{entry}>"), F.array().cast("array<string>")), step, lambda s: s["out"])
-
-    def cut(lines: Column, heads: Column, names: Column) -> Column:
-        def section(k: Column) -> Column:
-            first = F.coalesce(F.get(heads, k - 1)["at"], F.lit(0)) + 1
-            n = F.coalesce(F.get(heads, k)["at"], F.size(lines) + 1) - first
-            return F.struct(n.alias("n"), F.coalesce(F.get(names, k - 1), F.lit("")).alias("heading"), F.array_join(F.slice(lines, first, F.greatest(n, F.lit(0))), "\n").alias("body"))
-
-        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(heads)), section), lambda s: s["n"] > 0)
-        whole = F.array(F.struct(F.lit(1).alias("n"), F.lit("").alias("heading"), F.array_join(lines, "\n").alias("body")))
-        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
-
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    return let(F.split(clean, "\n"), lambda lines: let(headings(lines), lambda heads: let(paths(heads), lambda names: cut(lines, heads, names))))
+    return F.arrow_udf(K.each(lambda t: None if t is None else K.windows(t, size, overlap), pa.list_(pa.string())), "array<string>")(text)
 
 
 def split_semantic(text: Column, size: int, overlap: int) -> Column:
-    """Array of (heading, content) chunks."""
-    one = lambda s: F.transform(pack(paragraphs(s["body"]), size, overlap), lambda c: F.struct(s["heading"].alias("heading"), c.alias("content")))
-    return F.flatten(F.transform(sections(text), one))
+    """Array of (heading, content) chunks: sections below Markdown headings with the path of headings above, their paragraphs packed to `size`."""
+    return F.arrow_udf(K.each(lambda t: K.pieces(t or "", size, overlap), K.PIECES), "array<struct<heading:string,content:string>>")(text)
 
 
 def embedding_text(heading: Column, content: Column, heading_weight: float = 1) -> Column:

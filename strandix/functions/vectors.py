@@ -18,8 +18,9 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    """Divided by its norm, in double precision; a zero vector stays."""
-    return F.when(norm(v) == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / norm(v)))
+    """Divided by its norm, in double precision; a zero vector stays. The norm is computed once, not for each element."""
+    scaled = F.transform(F.array(norm(v)), lambda n: F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n)))
+    return F.get(scaled, F.lit(0))
 
 
 def is_valid(v: Column, dim: int | Column | None = None) -> Column:

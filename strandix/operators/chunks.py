@@ -47,32 +47,32 @@ def with_keyword_stats(rows: DataFrame) -> DataFrame:
 
 
 def complete_keyword_stats(rows: DataFrame) -> DataFrame:
-    """Rows that lack any of the four statistics get all of them anew."""
+    """Rows that lack any of the four statistics get all of them anew; the others aren't tokenised."""
     names = [f"kw_{n}_{k}" for n in ("heading", "content") for k in ("terms", "count")]
+    if not {*names} <= {*rows.columns}:
+        return with_keyword_stats(rows.drop(*names))
     lacking = F.lit(False)
     for n in names:
         lacking = lacking | F.col(n).isNull()
-    fresh = {}
-    for n in ("heading", "content"):
-        tokens = tokenize(F.col(n))
-        fresh |= {f"kw_{n}_terms": term_counts(tokens), f"kw_{n}_count": F.size(tokens)}
-    return rows.withColumns({n: F.when(lacking, fresh[n]).otherwise(F.col(n)) for n in names})
+    return rows.where(~lacking).unionByName(with_keyword_stats(rows.where(lacking).drop(*names)).select(rows.columns))
 
 
 #: Base and modulus of the hash that joins the documents' digests: hash(a then b) = hash(a) * BASE ** len(b) + hash(b), so it may be cut anywhere.
 _BASE, _PRIME = 0x9E3779B97F4A7C15F39CC0605CEDC835, 2**521 - 1
+LANES = 3
 
 
 def fingerprint(chunks: DataFrame, options: IngestOptions, provider: str, model: str) -> DataFrame:
-    """One row: a SHA-1 over the settings and, in order, each chunk's identity, hash and keyword statistics.
+    """One row: a SHA-1 over the settings and, in the documents' order, each chunk's identity, hash and keyword statistics.
 
-    Each chunk is digested where it lies, a document's digests are joined, and the documents' digests are folded in each partition of a distributed sort. What
-    meets in one place is a row for each partition, and the result doesn't depend on where partitions end.
+    Each chunk is digested where it lies. A chunk's digest holds its index, so a document's are combined in any order (exclusive or, partial sums before the
+    shuffle), and the documents' digests are folded in each partition of a distributed sort. What meets in one place is a row for each
+    partition, and the result doesn't depend on where partitions end.
     """
-    digest = F.sha1(F.encode(F.to_json(F.struct("id", "source", "chunk_index", "hash", "kw_heading_terms", "kw_heading_count", "kw_content_terms", "kw_content_count")), "UTF-8"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "digest"))), lambda x: x["digest"]), "\n")
-    per_doc = chunks.select("doc_ord", "chunk_index", digest.alias("digest")).groupBy("doc_ord").agg(F.sha1(F.encode(ordered, "UTF-8")).alias("digest"))
-    head = f"1|1|{provider}|{model}|{options.chunk_size}|{options.chunk_overlap}|{options.heading_weight:g}\n"
+    digest = F.sha1(F.encode(F.concat_ws("|", F.to_json(F.struct("id", "source", "chunk_index", "hash", "kw_heading_count", "kw_content_count")), F.xxhash64("kw_heading_terms").cast("string"), F.xxhash64("kw_content_terms").cast("string")), "UTF-8"))
+    lanes = chunks.select("doc_ord", digest.alias("digest")).groupBy("doc_ord").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in range(LANES)])
+    per_doc = lanes.select("doc_ord", F.sha1(F.encode(F.concat_ws(",", "n", *[F.col(f"x{i}").cast("string") for i in range(LANES)]), "UTF-8")).alias("digest"))
+    head = f"2|1|{provider}|{model}|{options.chunk_size}|{options.chunk_overlap}|{options.heading_weight:g}\n"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n, h = None, 0, 0

@@ -21,6 +21,11 @@ from strandix.sources.store import read_store
 
 
 class Searcher(Protocol):
+    """What answers questions; a store of one's own need only have these."""
+
+    meta: StoreMeta | None
+    record_count: int
+
     def search(self, questions: DataFrame, options: RankingOptions) -> DataFrame: ...
 
 
@@ -31,31 +36,28 @@ class Retriever:
     meta: StoreMeta | None
     store: DataFrame
     index: KeywordIndex
+    record_count: int
 
     @classmethod
     def of(cls, store: DataFrame, meta: StoreMeta | None = None) -> Retriever:
         store = store.persist()
-        index = KeywordIndex.build(store)
-        index.postings.persist()
-        return cls(meta, store, index)
+        return cls(meta, store, KeywordIndex.build(store, keep=True), store.count())
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: ModelConfig | None = None) -> Retriever:
         meta, store = read_store(spark, path, config)
         return cls.of(store, meta)
 
-    @property
-    def record_count(self) -> int:
-        return self.store.count()
-
     def search(self, questions: DataFrame, options: RankingOptions = RankingOptions()) -> DataFrame:  # noqa: B008
         return candidates(self.store, questions, options, self.index)
 
+    def free(self) -> None:
+        self.index.free()
+        self.store.unpersist()
+
     def reload(self, path: str, config: ModelConfig | None = None) -> Retriever:
         new = Retriever.open(self.store.sparkSession, path, config)
-        new.store.count()
-        self.index.postings.unpersist()
-        self.store.unpersist()
+        self.free()
         return new
 
 
@@ -73,11 +75,25 @@ def embed_questions(questions: DataFrame, embedder: EmbedFunction) -> DataFrame:
     return trimmed.withColumn("embedding", call.asNondeterministic()("question")).withColumn("embedding", normalize(F.col("embedding")).cast("array<float>"))
 
 
+@dataclass
+class Answers:
+    """Rows of answers, and what is cached for them until ``free``."""
+
+    rows: DataFrame
+    cached: tuple[DataFrame, ...]
+
+    def free(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+
+
 def answer(
     questions: DataFrame, retriever: Searcher, embedder: EmbedFunction, chat: prompts.ChatFunction, ranking: RankingOptions = RankingOptions(), prompt: PromptOptions = PromptOptions(),  # noqa: B008
-    on_retrieved: Callable[[DataFrame], None] | None = None, include_candidates: bool = True,
-) -> DataFrame:
-    """(question_id, question, answer, context, no_answer_reason, hits[, candidates]); calls to the models are made once, before the joins."""
+    on_retrieved: Callable[[DataFrame], None] | None = None, include_candidates: bool = True, on_meta: Callable[[StoreMeta | None], None] | None = None,
+) -> Answers:
+    """(question_id, question, answer, context, no_answer_reason, hits[, candidates]); calls to the models are made once, before the joins. Free the answers once they are read."""
+    if on_meta:
+        on_meta(retriever.meta)
     asked = embed_questions(questions, embedder).persist()
     pool = retriever.search(asked, ranking).persist()
     hits = select_diverse(pool, ranking.per_source_limit, ranking.top_k)
@@ -87,4 +103,4 @@ def answer(
     for name, rows in (("hits", hits), *((("candidates", pool),) if include_candidates else ())):
         one = F.struct("rank", "id", "source", "chunk_index", "heading", "content", "score", "vector_score", "keyword_score")
         out = out.join(rows.groupBy("question_id").agg(F.array_sort(F.collect_list(one)).alias(name)), "question_id", "left")
-    return out
+    return Answers(out, (asked, pool))

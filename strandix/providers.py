@@ -1,19 +1,24 @@
-"""Embedding and chat functions: over HTTP for the usual servers, and a deterministic one that needs no network."""
+"""Embedding and chat functions: over HTTP for the usual servers, and a deterministic one that needs no network.
+
+A streamed answer is read as it arrives: bytes are decoded and cut to lines piece by piece, and each token is told when its line is whole.
+"""
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import math
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from strandix.config import ModelConfig, RuntimeOptions
 
-Fetch = Callable[..., "tuple[int, bytes]"]
+#: (url, body, headers, timeout in seconds[, stream]) to a status and the body, or with stream its pieces as they arrive.
+Fetch = Callable[..., "tuple[int, bytes | Iterable[bytes]]"]
 
 
 def hashed_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
@@ -33,28 +38,39 @@ def hashed_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return run
 
 
-def post(url: str, body: dict, headers: dict[str, str], runtime: RuntimeOptions, send: Fetch | None = None, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """A request with retries: 4xx fails at once; 5xx, redirects and broken connections are tried again after 0.5, 1, 2 ... seconds."""
+def post(url: str, body: dict, headers: dict[str, str], runtime: RuntimeOptions, send: Fetch | None = None, sleep: Callable[[float], None] = time.sleep, stream: bool = False) -> bytes | Iterable[bytes]:
+    """A request with retries: 4xx fails at once; 5xx, redirects and broken connections are tried again after 0.5, 1, 2 ... seconds. Of a stream only its beginning is tried again."""
     send = send or _send
     for i in range(runtime.retries + 1):
         try:
-            status, content = send(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers, runtime.timeout_ms / 1000)
+            status, content = send(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers, runtime.timeout_ms / 1000, *([True] if stream else []))
         except OSError as e:
             status, content = 599, str(e).encode()
         if 200 <= status < 300:
             return content
         if 400 <= status < 500 or i == runtime.retries:
-            raise RuntimeError(f"{url} answered {status}: {content[:300].decode('utf-8', 'replace')}")
+            said = content if isinstance(content, bytes) else b"".join(content)
+            raise RuntimeError(f"{url} answered {status}: {said[:300].decode('utf-8', 'replace')}")
         sleep(0.5 * 2**i)
     raise AssertionError
 
 
-def _send(url: str, body: bytes, headers: dict[str, str], timeout: float) -> tuple[int, bytes]:
+def _send(url: str, body: bytes, headers: dict[str, str], timeout: float, stream: bool = False) -> tuple[int, bytes | Iterable[bytes]]:
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as r:
-            return r.status, r.read()
+        r = urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout)
     except urllib.error.HTTPError as e:
         return e.code, e.read()
+    if stream:
+        return r.status, _arriving(r)
+    with r:
+        return r.status, r.read()
+
+
+def _arriving(response) -> Iterator[bytes]:
+    with response:
+        # read1 gives what is there, without waiting for a full buffer.
+        while piece := response.read1(1 << 16):
+            yield piece
 
 
 def create_embedder(config: ModelConfig, runtime: RuntimeOptions = RuntimeOptions(), send: Fetch | None = None) -> Callable[[list[str]], list[list[float]]]:  # noqa: B008
@@ -83,7 +99,7 @@ def create_chat(config: ModelConfig, runtime: RuntimeOptions = RuntimeOptions(),
 
     def run(messages: list[dict]) -> str:
         body = {"model": config.model, "messages": messages, "stream": stream} | ({"options": {"temperature": runtime.temperature}} if ollama else {"temperature": runtime.temperature})
-        raw = post(f"{base}/api/chat" if ollama else f"{base}/chat/completions", body, {} if ollama else _auth(config), runtime, send)
+        raw = post(f"{base}/api/chat" if ollama else f"{base}/chat/completions", body, {} if ollama else _auth(config), runtime, send, stream=stream)
         if not stream:
             got = json.loads(raw)
             return got["message"]["content"] if ollama else got["choices"][0]["message"]["content"]
@@ -100,13 +116,17 @@ def _auth(config: ModelConfig) -> dict[str, str]:
     return {"Authorization": f"Bearer {config.api_key or 'sk-none'}"}
 
 
-def _lines(raw: bytes) -> Iterator[str]:
-    for line in raw.decode("utf-8", "replace").split("\n"):
-        if line := line.removesuffix("\r"):
-            yield line
+def _lines(raw: bytes | Iterable[bytes]) -> Iterator[str]:
+    """Non-empty lines, each as soon as its end has arrived; characters cut between pieces are put together."""
+    decode, held = codecs.getincrementaldecoder("utf-8")("replace").decode, ""
+    for piece in [raw] if isinstance(raw, bytes) else raw:
+        *whole, held = (held + decode(piece)).split("\n")
+        yield from (line for x in whole if (line := x.removesuffix("\r")))
+    if line := (held + decode(b"", True)).strip():
+        yield line
 
 
-def sse_tokens(raw: bytes) -> Iterator[str]:
+def sse_tokens(raw: bytes | Iterable[bytes]) -> Iterator[str]:
     for line in _lines(raw):
         if not line.startswith("data:"):
             continue
@@ -119,7 +139,7 @@ def sse_tokens(raw: bytes) -> Iterator[str]:
             continue
 
 
-def ndjson_tokens(raw: bytes) -> Iterator[str]:
+def ndjson_tokens(raw: bytes | Iterable[bytes]) -> Iterator[str]:
     for line in _lines(raw):
         try:
             if token := json.loads(line)["message"].get("content"):

@@ -53,7 +53,9 @@ class Service:
                     self.slots.release()
             if (method, path) == ("POST", "/reload"):
                 self._authorize(authorization)
-                self.retriever = self.open()
+                # The new one is whole before it is swapped in; the old one's caches go then, and what still reads it is recomputed.
+                old, self.retriever = self.retriever, self.open()
+                old.free()
                 return 200, {"ok": True, "records": self.retriever.record_count, "meta": self.retriever.meta.to_json() if self.retriever.meta else None}
             return 404, {"error": "not_found", "endpoints": [f"{m} {p}" for p, m in ROUTES.items()]}
         except Refused as e:
@@ -83,8 +85,11 @@ class Service:
         prompt = PromptOptions(**{ours: body["prompt"][k] for k, ours in _PROMPT.items() if isinstance((body.get("prompt") or {}).get(k), str)})
         began = time.monotonic()
         wanted = body.get("includeCandidates") is True
-        rows = qa.answer(self.spark.createDataFrame([(0, question)], "question_id long, question string"), self.retriever, self.embed, self.chat, replace(self.ranking, **given), prompt, include_candidates=wanted)
-        row = rows.first().asDict(recursive=True)
+        answers = qa.answer(self.spark.createDataFrame([(0, question)], "question_id long, question string"), self.retriever, self.embed, self.chat, replace(self.ranking, **given), prompt, include_candidates=wanted)
+        try:
+            row = answers.rows.first().asDict(recursive=True)
+        finally:
+            answers.free()
         out = {"question": row["question"], "answer": row["answer"], "hits": row["hits"] or [], "elapsedMs": round((time.monotonic() - began) * 1000)}
         out |= {"candidates": row["candidates"] or []} if wanted else {}
         out |= {"context": row["context"]} if body.get("includeContext") is True else {}

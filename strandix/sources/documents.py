@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,17 +38,38 @@ def _decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 
 
-def load_documents(spark: SparkSession, folder: str, extensions: Iterable[str] | None = None, source_root: str | None = None, exclude: Iterable[str] = (), keep: Column | None = None) -> DataFrame:
-    """(source, content, doc_ord) of the text files below a folder. Files are dropped by name before they are read; malformed UTF-8 is replaced."""
-    wanted, left_out = normalize_extensions(extensions), [x.replace("\\", "/") for x in exclude]
+#: Bits of a document's place within its partition of the sorted names, in doc_ord.
+PLACE_BITS = 24
+
+
+def excluded(rows: DataFrame, sources: Iterable[str]) -> DataFrame:
+    """The rows whose source isn't among these; their separators may be backslashes."""
+    gone = [x.replace("\\", "/") for x in sources]
+    return rows.where(~F.col("source").isin(gone)) if gone else rows
+
+
+def load_documents(spark: SparkSession, folder: str, extensions: Iterable[str] | None = None, source_root: str | None = None, exclude: Iterable[str] = (), keep: Column | Callable[[dict], bool] | None = None) -> DataFrame:
+    """(source, content, doc_ord) of the text files below a folder. Files are dropped by name before they are read; malformed UTF-8 is replaced.
+
+    ``keep`` is a Column, or a function of {source, content}, which is called in batches of an Arrow-fed function.
+    """
+    wanted = normalize_extensions(extensions)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/+", "/")
     rows = files.select(portable(path, (source_root or folder).removeprefix("file://")).alias("source"), "content").where(extension(F.col("source")).isin(wanted))
-    if left_out:
-        rows = rows.where(~F.col("source").isin(left_out))
-    rows = rows.select("source", _decode("content").alias("content"))
-    if keep is not None:
+    rows = excluded(rows, exclude).select("source", _decode("content").alias("content"))
+    if callable(keep):
+
+        @F.pandas_udf("boolean")
+        def kept(sources: pd.Series, contents: pd.Series) -> pd.Series:
+            return pd.Series([bool(keep({"source": s, "content": c})) for s, c in zip(sources, contents)], dtype=bool)
+
+        rows = rows.where(kept("source", "content"))
+    elif keep is not None:
         rows = rows.where(keep)
-    # Names only are sorted, in a distributed sort: ids that grow along it are the order, though they aren't dense.
-    names = rows.select("source").orderBy(source_order(F.col("source"))).withColumn("doc_ord", F.monotonically_increasing_id())
-    return rows.join(names, "source").select("source", "content", "doc_ord")
+    # Names only are sorted, in a distributed sort: partition and place are the order. It isn't dense, and has 39 bits, so that a chunk's index fits below it.
+    names = rows.select("source").orderBy(source_order(F.col("source"))).withColumn("m", F.monotonically_increasing_id())
+    partition, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (partition < 1 << 15) & (place < 1 << PLACE_BITS)
+    doc_ord = F.when(fits, F.shiftleft(partition, PLACE_BITS).bitwiseOR(place)).otherwise(F.raise_error(F.lit("too many documents in one folder")).cast("bigint"))
+    return rows.join(names.select("source", doc_ord.alias("doc_ord")), "source").select("source", "content", "doc_ord")

@@ -1,9 +1,13 @@
+import hashlib
+import json
+
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandix.config import IngestOptions, ModelConfig
 from strandix.operators.chunks import build_chunks, fingerprint
-from strandix.operators.ingest import ingest
+from strandix.operators.ingest import ingest, record_order
 from strandix.providers import hashed_embedder
 from strandix.sources import documents as D
 from strandix.sources.store import read_store
@@ -59,6 +63,53 @@ def test_fingerprint_follows_settings_order_and_content(spark):
     assert len(set(marks)) == 5 and mark(docs(spark, a, b).repartition(3)) == marks[0]
 
 
+def brute_fingerprint(rows, options, provider, model):
+    """What ``fingerprint`` computes, over all chunks in one place."""
+    signed = lambda x: x - 2**64 if x >> 63 else x
+
+    def terms(ts):
+        h = 42
+        for t in ts:
+            h = xxhash.xxh64_intdigest(t["term"].encode(), h)
+            h = xxhash.xxh64_intdigest(t["count"].to_bytes(4, "little", signed=True), h)
+        return signed(h)
+
+    docs = {}
+    for r in rows:
+        one = {k: r[k] for k in ("id", "source", "chunk_index", "hash", "kw_heading_count", "kw_content_count")}
+        line = "|".join([json.dumps(one, separators=(",", ":"), ensure_ascii=False), str(terms(r["kw_heading_terms"])), str(terms(r["kw_content_terms"]))])
+        docs.setdefault(r["doc_ord"], []).append(hashlib.sha1(line.encode()).hexdigest())
+    n, total, prime = 0, 0, 2**521 - 1
+    for _, digests in sorted(docs.items()):
+        lanes = []
+        for i in range(3):
+            x = 0
+            for d in digests:
+                x ^= xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(d.encode(), 42))
+            lanes.append(str(signed(x)))
+        whole = hashlib.sha1(",".join([str(len(digests)), *lanes]).encode()).hexdigest()
+        n, total = n + 1, (total * 0x9E3779B97F4A7C15F39CC0605CEDC835 + int(whole, 16)) % prime
+    head = f"2|1|{provider}|{model}|{options.chunk_size}|{options.chunk_overlap}|{options.heading_weight:g}\n"
+    return hashlib.sha1(f"{head}{n}:{total}".encode()).hexdigest()
+
+
+def test_fingerprint_against_brute_force(spark):
+    rows = [(f"s{i % 3}", "# T\n\n" + f"wörd{i} 中文字 the the " * (i * 7 % 40), i) for i in range(25)]
+    chunks = build_chunks(spark.createDataFrame(rows, DOCS).repartition(4), IngestOptions(60, 5))
+    got = fingerprint(chunks, IngestOptions(60, 5), "p", "m").first().fingerprint
+    assert got == brute_fingerprint(chunks.collect(), IngestOptions(60, 5), "p", "m")
+
+
+def test_record_order_fits_any_partition_and_refuses_what_does_not(spark):
+    top = (1 << 39) - 1
+    rows = spark.createDataFrame([(0, 0), (0, (1 << 24) - 1), (1, 0), (32767 << 24, 5), (top, 7)], "d long, i int")
+    got = [r[0] for r in rows.select(record_order(F.col("d"), F.col("i"))).collect()]
+    assert got == sorted(set(got))
+    for bad in ((top + 1, 0), (0, 1 << 24), (-1, 0)):
+        with pytest.raises(Exception, match="doc_ord"):
+            spark.createDataFrame([bad], "d long, i int").select(record_order(F.col("d"), F.col("i"))).collect()
+
+
 def test_load_documents(spark, tmp_path):
     for name in ("z.md", "a/a.md", "a/b.MD", "b/a.txt", "skip.json", ".md", "a b+%20.md"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -68,6 +119,8 @@ def test_load_documents(spark, tmp_path):
     assert [s for s, _ in got] == ["a/a.md", "a/b.MD", "a b+%20.md", "b/a.txt", "bad.txt", "z.md"] and dict(got)["bad.txt"] == "﻿ok �"
     some = D.load_documents(spark, f"file://{tmp_path}", ["md"], str(tmp_path.parent), [f"{tmp_path.name}/z.md"], F.col("content").contains("a/"))
     assert [r.source for r in some.orderBy("doc_ord").collect()] == [f"{tmp_path.name}/a/a.md", f"{tmp_path.name}/a/b.MD"]
+    asked = D.load_documents(spark, f"file://{tmp_path}", ["md"], keep=lambda d: "a/" in d["content"] and d["source"].endswith("MD"))
+    assert [r.source for r in asked.collect()] == ["a/b.MD"]
 
 
 def test_streamed_ingest_keeps_each_sources_last_version(spark, tmp_path):

@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 
 import pytest
 
@@ -11,13 +13,13 @@ class Server:
     def __init__(self, *answers):
         self.answers, self.calls = list(answers), []
 
-    def __call__(self, url, body, headers, timeout):
+    def __call__(self, url, body, headers, timeout, stream=False):
         self.calls.append((url, json.loads(body), headers, timeout))
         a = self.answers.pop(0)
         if isinstance(a, Exception):
             raise a
         status, content = a if isinstance(a, tuple) else (200, a)
-        return status, content if isinstance(content, bytes) else json.dumps(content).encode()
+        return status, content if isinstance(content, bytes) or stream else json.dumps(content).encode()
 
 
 def test_vectors_come_back_in_the_inputs_order():
@@ -72,3 +74,42 @@ def test_streams():
 def test_hashed_embedder():
     a, b = hashed_embedder(8)(["x y", ""])
     assert abs(sum(v * v for v in a) - 1) < 1e-9 and b[0] == 1
+
+
+def test_tokens_are_told_as_they_arrive():
+    """A server that sends its second event only after the first token was told, with a character cut in two."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    first, told = threading.Event(), []
+    event = lambda text: ("data: " + json.dumps({"choices": [{"delta": {"content": text}}]}, ensure_ascii=False) + "\n\n").encode()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(200)
+            self.end_headers()
+            one, two = event("你"), event("好")
+            at = one.index("你".encode()) + 1
+            for piece in (one[:at], one[at:]):
+                self.wfile.write(piece)
+                self.wfile.flush()
+                time.sleep(0.05)
+            assert first.wait(20)
+            self.wfile.write(two + b"data: [DONE]")
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        chat = create_chat(ModelConfig("lmstudio", "m", f"http://127.0.0.1:{server.server_port}"), on_token=lambda t: (told.append(t), first.set()))
+        assert chat([]) == "你好" and told == ["你", "好"]
+    finally:
+        server.shutdown()
+
+
+def test_lines_cut_anywhere_are_put_together():
+    raw = "".join(json.dumps({"message": {"content": c}}, ensure_ascii=False) + "\r\n" for c in "aé你𝄞b").encode()
+    for n in (1, 2, 3, 7, len(raw)):
+        assert list(ndjson_tokens([raw[i : i + n] for i in range(0, len(raw), n)])) == list("aé你𝄞b")

@@ -22,7 +22,7 @@ def retriever(spark):
 
 
 def ask(spark, retriever, text, **k):
-    return qa.answer(spark.createDataFrame([(1, text)], "question_id long, question string"), retriever, lambda texts: [[3.0, 0.0] for _ in texts], k.pop("chat", chat), **k)
+    return qa.answer(spark.createDataFrame([(1, text)], "question_id long, question string"), retriever, lambda texts: [[3.0, 0.0] for _ in texts], k.pop("chat", chat), **k).rows
 
 
 def test_answers(spark, retriever):
@@ -35,6 +35,15 @@ def test_answers(spark, retriever):
     assert retriever.record_count == 2
 
 
+def test_what_an_answer_caches_is_freed(spark, retriever):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    metas = []
+    got = qa.answer(spark.createDataFrame([(1, "cache")], "question_id long, question string"), retriever, lambda texts: [[3.0, 0.0] for _ in texts], chat, on_meta=metas.append)
+    assert got.rows.count() == 1 and metas == [None] and len(spark.sparkContext._jsc.getPersistentRDDs()) > before
+    got.free()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
 def test_no_hits_and_no_call(spark, retriever):
     def never(messages):
         raise AssertionError

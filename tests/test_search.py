@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandix.config import RankingOptions
 from strandix.operators.keywords import KeywordIndex
@@ -57,6 +58,49 @@ def test_portions_of_questions_change_nothing(spark):
     assert shown(candidates(store, asked, portion=2)) == shown(candidates(store, asked))
 
 
+def test_no_pair_of_question_and_chunk_is_exchanged(spark):
+    rows = [(i, "s", "", f"common t{i % 7}", [1.0]) for i in range(5000)]
+    store = frame(spark, rows)
+    asked = spark.createDataFrame([(i, f"common t{i}", [1.0]) for i in range(7)], QUESTION)
+    index = KeywordIndex.build(store, keep=True)
+    pools = candidates(store, asked, RankingOptions(), index)
+    assert pools.count() == 7 * 8
+    plan = pools._jdf.queryExecution().executedPlan()
+    shuffled = [int(m.value()) for m in _metrics(plan, "shuffleRecordsWritten")]
+    index.free()
+    assert shuffled and max(shuffled) < 7 * 8 * 40
+
+
+def _metrics(plan, name):
+    found, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if p.metrics().contains(name):
+            found.append(p.metrics().apply(name))
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_stored_statistics_are_used_and_missing_ones_completed(spark):
+    from strandix.operators.chunks import with_keyword_stats
+
+    stored = with_keyword_stats(frame(spark, [(0, "s", "", "alpha", [1.0]), (1, "s", "", "beta", [1.0])]))
+    # A store's own counts win over its text; rows without any are counted anew.
+    kept = stored.withColumn("content", F.lit("gamma")).withColumn("kw_content_terms", F.when(F.col("ord") == 0, F.col("kw_content_terms")))
+    raw = KeywordIndex.build(kept).bm25(spark.createDataFrame([(0, "alpha"), (1, "beta"), (2, "gamma")], "question_id long, question string"))
+    assert sorted((r.question_id, r.ord) for r in raw.collect()) == [(0, 0), (2, 1)]
+
+
+def test_vectors_of_any_size_are_ranked(spark):
+    rows = [(i, f"s{i}", "", "x", [1e9 * i]) for i in range(20)]
+    pool = candidates(frame(spark, rows), spark.createDataFrame([(0, "", [1.0])], QUESTION), RankingOptions(keyword_weight=0))
+    assert [r.ord for r in pool.orderBy("rank").collect()] == list(range(19, 11, -1))
+
+
 def test_one_source_may_fill_the_pool(spark):
     rows = [(i, "a", "", "x", [1.0 - i / 100]) for i in range(8)] + [(9, "b", "", "x", [0.1])]
     hits = search(frame(spark, rows), spark.createDataFrame([(0, "", [1.0])], QUESTION))[1]

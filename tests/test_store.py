@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandix.config import ModelConfig, StoreMeta
 from strandix.operators import chunks as C
 from strandix.operators import embedding as E
+from strandix.sources import cache
 from strandix.sources import store as S
 
 META = StoreMeta("lmstudio", "test-embedding", 2, 100, 10, "2026-01-01T00:00:00.000Z", 2)
@@ -86,3 +88,56 @@ def test_cache_takes_the_last_sound_entry(spark):
     assert [tuple(r) for r in E.latest(cache).collect()] == [("a", [2.0])]
     chunks = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "y")], "hash string, embedding_text string")
     assert E.hits(chunks, cache).count() == 1 and E.misses(chunks, cache).count() == 2
+
+
+def test_lines_are_numbered_within_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    big = [f"line {i} " + "x" * 50 for i in range(2000)]
+    (tmp_path / "d/b.txt").write_text("\n".join(["", *big[:3], "  ", *big[3:]]))
+    (tmp_path / "d/a.txt").write_text("first\n\nsecond\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = S.read_lines(spark, f"file://{tmp_path}/d").withColumn("line", S.line_number(F.col("ord"))).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.value, r.line) for r in rows] == [("first", 1), ("second", 3), *[(x, i + 2) for i, x in enumerate(big[:3])], *[(x, i + 6) for i, x in enumerate(big[3:])]]
+
+
+def test_rejects_name_their_line(spark, tmp_path):
+    said = []
+    lines = [{"_meta": META.to_json()}, record(), "{bad", "", record(id="x", embedding=[1])]
+    _, _, rejects = S.read_ndjson(spark, put(tmp_path, *lines), CONFIG, said.append)
+    assert [(r.reason, r.line) for r in rejects.orderBy("ord").collect()] == [("unparseable", 3), ("embedding", 5)]
+    assert said == ["1 records left out: embedding (line 5 first)", "1 records left out: unparseable (line 3 first)"]
+
+
+def test_json_lines_are_replaced_whole_or_not_at_all(spark, tmp_path):
+    rows = C.with_keyword_stats(spark.createDataFrame([(0, "d#0", "d", 0, "", "text", "h", [1.0, 0.5])], "ord long, id string, source string, chunk_index int, heading string, content string, hash string, embedding array<double>"))
+    path = f"file://{tmp_path}/out"
+    S.write_ndjson(rows, META, path)
+    with pytest.raises(Exception, match="broken on purpose"):
+        S.write_ndjson(rows.withColumn("content", F.raise_error(F.lit("broken on purpose")).cast("string")), META, path)
+    assert S.read_ndjson(spark, path, CONFIG)[1].count() == 1
+    S.write_ndjson(rows.unionAll(rows), META, path)
+    assert S.read_ndjson(spark, path, CONFIG)[1].count() == 2 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_parsed_stores_are_kept_until_their_source_changes(spark, tmp_path, monkeypatch):
+    path, folder = put(tmp_path, {"_meta": META.to_json()}, record(), "{bad"), f"file://{tmp_path}/kept"
+    said = []
+    assert cache.read_cached(spark, path, folder, CONFIG, said.append)[1].count() == 1 and len(said) == 1
+    monkeypatch.setattr(cache, "read_ndjson", lambda *a: 1 / 0)
+    meta, rows = cache.read_cached(spark, path, folder, CONFIG)
+    assert meta == META and [r.id for r in rows.collect()] == ["doc.md#0"]
+    with pytest.raises(ValueError, match="ingest again"):
+        cache.read_cached(spark, path, folder, ModelConfig("lmstudio", "other"))
+    monkeypatch.undo()
+    put(tmp_path, {"_meta": META.to_json()}, record(), record(id="two"))
+    assert cache.read_cached(spark, path, folder, CONFIG)[1].count() == 2
+    (tmp_path / "kept/note.txt").write_text("mine")
+    assert len([p for p in (tmp_path / "kept").iterdir() if p.name[:1] != "."]) == 3
+    assert cache.clear_cache(spark, folder) == 2 and [p.name for p in (tmp_path / "kept").iterdir() if p.name[:1] != "."] == ["note.txt"]
+    assert cache.clear_cache(spark, f"file://{tmp_path}/none") == 0
+    with pytest.raises(FileNotFoundError):
+        cache.read_cached(spark, f"file://{tmp_path}/none", folder)
