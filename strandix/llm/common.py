@@ -70,11 +70,18 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+#: Rows of doc_ids and text hashes, about 50 bytes each in memory, up to which they are broadcast so that the texts needn't be shuffled.
+MOST_GONE = 500_000
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose doc_id and text aren't in gone(doc_id, h), nulls like values; columns as they were."""
+    """The rows whose doc_id and text aren't in gone(doc_id, h), nulls like values; columns as they were. The texts are shuffled only where `gone` has over MOST_GONE rows."""
+    gone = cut(gone)
+    few = gone.count() <= MOST_GONE
     doc_id, text = docs.columns.index("doc_id"), docs.columns.index("text")
     rows, names = plain(docs)
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
+    gone = F.broadcast(gone) if few else gone.hint("merge")
     kept = rows.join(gone, F.col(names[doc_id]).cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key(F.col(names[text])) == F.col("gone_h")), "left_anti")
     return kept.toDF(*docs.columns)
 

@@ -1,119 +1,126 @@
 """Operator 8, benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-The similarity of a short item to a long document is too small for MinHash. So items are partitioned by size: a size class holds items of up
-to s shingles, and for it a document is a set of windows of 2s shingles, one every s, so that any passage of s shingles lies within a window whose
-Jaccard similarity to the item is bounded from below. Each item has H MinHash values; a window is a candidate for an item if one of its own
-values, the least hash over the window's shingles, is the item's. A window's value can only be the item's where the window holds that very
-shingle, so minima are taken only over windows around such shingles: the same candidates for a small part of the work. Candidates are
-verified: the share of the item's distinct shingles within the document's must reach ``containment``.
+The similarity of a short item to a long document is too small for MinHash; the share of the item that the document holds isn't. Each of an item's MinHash
+values is the hash of one of its shingles, any with equal probability, so the share of its MinHash shingles that occur in a document estimates its
+containment there. Items are partitioned by size. Those of up to HASHES shingles are probed by all of them, which is exact. Larger ones are probed by the
+shingles of HASHES MinHash values; a document is a candidate if it holds as many of them as an item contained to ``containment`` has with
+probability 1 - MISS at least, wherever they lie. Candidates are verified: the share of the item's distinct shingles within the document's
+must reach ``containment``. So an item is missed with probability MISS at most, whatever its size and the document's.
 
-With H = 24 and an item wholly in a window, similarity is at least 1/4 and a miss has probability 0.75 ** 24 = 0.001 at most.
-
-The items' hashes are broadcast in portions of a bounded number of shingles; documents are scanned once for each portion, so nothing broadcast
-grows with the benchmark. Documents aren't shuffled.
+Items are hashed where they lie and sent out in portions of a bounded number of shingles, each broadcast for one scan of the documents whose (few) rows
+are written before the next; nothing that is held grows with the benchmark. Documents aren't shuffled.
 
 Shingles are runs of 5 words. Cases: an item of fewer than 5 words is one shingle of as many words; an empty or null item matches nothing, an
-empty or null text holds nothing; repeated rows are reported each; items with equal text are reported each; other columns are ignored.
+empty or null text holds nothing; repeated rows are reported each; items with equal text are reported each; null ids are reported as such; an empty
+table of either kind gives no rows; other columns are ignored. ``decontaminate`` judges rows of one doc_id each by its text, null doc_ids too, and
+keeps columns of any name.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.common import Words, mix, slices, table, utf8
+from strandix.llm.common import Words, cut, mix, slices, table, utf8, without
 
 SHINGLE = 5
-HASHES = 24
+HASHES = 32
+MISS = 1e-6
 CONTAINMENT = 0.8
 PORTION = 1_000_000
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, HASHES, dtype=np.uint64)
-SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, n_found int, containment double, first_word int"
+SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, n_found int, containment double, first_word int, h binary"
+
+
+def bar(containment: float, hashes: int = HASHES, miss: float = MISS) -> int:
+    """The greatest number that a binomial count of `hashes` draws of this probability stays below with probability `miss` at most; one at least."""
+    total, b = 0.0, 0
+    while b < hashes:
+        total += math.comb(hashes, b) * containment**b * (1 - containment) ** (hashes - b)
+        if total > miss:
+            break
+        b += 1
+    return max(1, b)
+
 
+def prepared(benchmark: DataFrame) -> DataFrame:
+    """(item_id, k, n, grams) of each item with a word: the length of its shingles, and the sorted distinct hashes of them."""
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The MinHash values of a set of shingles."""
-    return np.array([mix(shingles ^ s).min() for s in _SEEDS], np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            ids, out = batch.column(0).to_pylist(), []
+            for i in range(batch.num_rows):
+                words = Words(data, offsets[i : i + 2])
+                if k := min(SHINGLE, len(words.hash)):
+                    grams = np.unique(words.shingles(k)[0])
+                    out.append((ids[i], k, len(grams), grams.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["item_id", "k", "n", "grams"])
+
+    return benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "item_id bigint, k int, n int, grams binary")
 
 
 class Items:
-    """A portion of the benchmark, ready for search: by shingle length, the shingles that give some item's MinHash value, and what they stand for."""
-
-    def __init__(self, ids: list[int], sets: list[np.ndarray], k: int) -> None:
-        self.k, self.ids, self.sets = k, ids, sets
-        probes: dict[int, list[tuple[int, int, int]]] = {}
-        for i, s in enumerate(sets):
-            size = 1
-            while size < len(s):
-                size *= 2
-            for j, seed in enumerate(_SEEDS):
-                values = mix(s ^ seed)
-                at = int(values.argmin())
-                probes.setdefault(int(s[at]), []).append((i, j, size))
-        self.probe = np.sort(np.array(list(probes), np.uint64))
-        self.about = [probes[int(x)] for x in self.probe]
+    """Items of one shingle length, ready for search: the probe shingles, and for each the items it stands for with the number of their MinHash values."""
+
+    def __init__(self, k: int, rows: list[Row], containment: float) -> None:
+        self.k, self.ids, self.sets = k, [r.item_id for r in rows], [np.frombuffer(r.grams, np.uint64) for r in rows]
+        probes, items, weights, self.bar = [], [], [], np.zeros(len(rows), np.int64)
+        most = bar(containment)
+        for i, s in enumerate(self.sets):
+            if len(s) <= HASHES:
+                mine, times = s, np.ones(len(s), np.int64)
+                self.bar[i] = max(1, math.ceil(containment * len(s) - 1e-9))
+            else:
+                mine, times = np.unique(s[mix(s[None] ^ _SEEDS[:, None]).argmin(axis=1)], return_counts=True)
+                self.bar[i] = most
+            probes.append(mine)
+            weights.append(times)
+            items.append(np.full(len(mine), i))
+        probe, item, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (probes, items, weights))
+        order = np.argsort(probe, kind="stable")
+        self.item, self.weight = item[order], weight[order]
+        self.probe, first = np.unique(probe[order].astype(np.uint64), return_index=True)
+        self.first = np.append(first, len(order)).astype(np.int64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.probe & np.uint64((1 << 20) - 1)] = True
 
-    def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a probe occurs among the shingles, and which."""
-        at = np.flatnonzero(self.filter[shingles & np.uint64((1 << 20) - 1)])
+    def candidates(self, grams: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(text, item) for the items of which a text holds enough probes. grams: shingles of all texts on end; own: the text of each."""
+        at = np.flatnonzero(self.filter[grams & np.uint64((1 << 20) - 1)])
         if not len(at) or not len(self.probe):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        which = np.minimum(np.searchsorted(self.probe, shingles[at]), len(self.probe) - 1)
-        good = self.probe[which] == shingles[at]
-        return at[good], which[good]
-
-    def candidates(self, shingles: np.ndarray, hits: list[tuple[int, int]]) -> set[int]:
-        """Items of which some window of this document has a MinHash value; hits: (position, probe)."""
-        found: set[int] = set()
-        for p, which in hits:
-            for i, j, size in self.about[which]:
-                if i in found:
-                    continue
-                value = mix(shingles[p : p + 1] ^ _SEEDS[j])[0]
-                last = p // size
-                for w in (last - 1, last):  # the windows [w * size, w * size + 2 * size) that hold p
-                    if w >= 0 or last == 0:
-                        window = shingles[max(w, 0) * size : max(w, 0) * size + 2 * size]
-                        if mix(window ^ _SEEDS[j]).min() == value:
-                            found.add(i)
-                            break
-        return found
-
-
-def portions(benchmark: DataFrame, portion: int) -> Iterator[list[Items]]:
-    """The benchmark's items in portions of about so many shingles, each by shingle length; they come to the driver one partition's batch at a time."""
-    by_k: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    size = 0
-    for row in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator(prefetchPartitions=False):
-        data, offsets = utf8(pa.array([row.text], pa.string()))
-        words = Words(data, offsets)
-        k = min(SHINGLE, len(words.hash))
-        if not k:
-            continue
-        ids, sets = by_k.setdefault(k, ([], []))
-        ids.append(row.item_id)
-        sets.append(np.unique(words.shingles(k)[0]))
-        size += len(sets[-1])
-        if size >= portion:
-            yield [Items(i, s, k) for k, (i, s) in by_k.items()]
-            by_k, size = {}, 0
-    if by_k:
-        yield [Items(i, s, k) for k, (i, s) in by_k.items()]
-
-
-def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, portion: int = PORTION) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found, containment, first_word) of every pair of a row and an item found in it."""
+            return np.zeros((0, 2), np.int64)
+        which = np.minimum(np.searchsorted(self.probe, grams[at]), len(self.probe) - 1)
+        good = self.probe[which] == grams[at]
+        # A shingle counts once for a text, however often it occurs there.
+        pair = np.unique(own[at[good]] * len(self.probe) + which[good])
+        text, which = pair // len(self.probe), pair % len(self.probe)
+        times = self.first[which + 1] - self.first[which]
+        place = np.repeat(self.first[which] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(times) else np.zeros(0, np.int64)
+        both, inverse = np.unique(np.repeat(text, times) * len(self.ids) + self.item[place], return_inverse=True)
+        enough = np.bincount(inverse, self.weight[place], len(both)) >= self.bar[both % len(self.ids)] - 0.5
+        return np.column_stack([both // len(self.ids), both % len(self.ids)])[enough]
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, portion: int = PORTION) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found, containment, first_word, h) of every pair of a row and an item found in it; h: the text's hash."""
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    out = None
-    for items in portions(benchmark, portion):
-        shared = spark.sparkContext.broadcast(items)
+    items = cut(prepared(benchmark))
+    portions = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // portion))
+    out = spark.createDataFrame([], SCHEMA)
+    for p in range(portions):
+        # Hashing deals out alike portions; a single item is never split.
+        rows = items.where(F.pmod(F.xxhash64("grams", "item_id"), F.lit(portions)) == p).collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast([Items(k, [r for r in rows if r.k == k], containment) for k in sorted({r.k for r in rows})])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -123,34 +130,32 @@ def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAI
                 for lo, hi in slices(offsets):
                     words = Words(data, offsets[lo : hi + 1])
                     for part in shared.value:
-                        grams, at, own = words.shingles(part.k)
-                        where, which = part.hits(grams)
-                        if not len(where):
-                            continue
+                        grams, _, own = words.shingles(part.k)
                         bounds = np.searchsorted(own, np.arange(hi - lo + 1))
-                        for d in np.unique(own[where]).tolist():
-                            mine = where[own[where] == d]
+                        for d, i in part.candidates(grams, own).tolist():
                             its = grams[bounds[d] : bounds[d + 1]]
-                            for i in sorted(part.candidates(its, list(zip((mine - bounds[d]).tolist(), which[own[where] == d].tolist())))):
-                                inside = np.flatnonzero(np.isin(its, part.sets[i]))
-                                n = len(np.unique(its[inside]))
-                                share = n / len(part.sets[i])
-                                if share >= containment:
-                                    rows.append((ids[lo + d], part.ids[i], len(part.sets[i]), n, share, int(inside[0])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()))],
-                    ["doc_id", "item_id", "n_shingles", "n_found", "containment", "first_word"],
-                )
-
-        found = narrow.mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionAll(found)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+                            inside = np.flatnonzero(np.isin(its, part.sets[i]))
+                            n = len(np.unique(its[inside]))
+                            share = n / len(part.sets[i])
+                            if share >= containment:
+                                h = hashlib.md5(data[offsets[lo + d] : offsets[lo + d + 1]].tobytes()).digest()
+                                rows.append((ids[lo + d], part.ids[i], len(part.sets[i]), n, share, int(inside[0]), h))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["doc_id", "item_id", "n_shingles", "n_found", "containment", "first_word", "h"])
+
+        out = out.unionAll(cut(narrow.mapInArrow(run, SCHEMA)))
+        shared.destroy()
+    return out
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, portion: int = PORTION) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found, containment, first_word) of every pair of a row and an item found in it."""
+    return found_in(docs, benchmark, containment, portion).drop("h")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that hold no item, with their own columns. A document with a null doc_id is left in unless another such holds an item."""
-    dirty = contained(docs, benchmark, containment).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_dirty")), "left_anti")
+    """The rows whose text holds no item, with their own columns."""
+    return without(docs, found_in(docs, benchmark, containment).select("doc_id", "h").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
