@@ -268,7 +268,7 @@ def graphs(nodes: DataFrame, n: int, shard: int = SHARD, radius: int = RADIUS) -
         files, root = filesystem(path)
         files.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.graph"
-        with files.open_output_stream(f"{root}/{name}") as out:
+        with files.open_output_stream(f"{root}/{name}", compression=None) as out:
             out.write(np.array([len(fp), g.degree], np.int64).tobytes() + pdf["id"].to_numpy().astype(np.int64).tobytes())
             out.write(fp.tobytes())
             out.write(g.near.tobytes())

@@ -22,17 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandix.llm import bpe
-from strandix.llm.common import scratch, table
+from strandix.llm.common import cut, filesystem, scratch, table
 
 BLOCK_BYTES = 4 << 20
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = bpe.TOKENIZER) -> DataFrame:
     """One flat file per task under `path`, and their manifest (file, n_bytes, doc_ids in order), written as a table.
 
@@ -43,10 +37,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = bpe.TOKENIZER
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = bpe.encoder(tokenizer), np.array([bpe.END_OF_DOCUMENT], "<u2").tobytes()
-        files, root = _filesystem(path)
+        files, root = filesystem(path)
         files.create_dir(root, recursive=True)
         name, ids, size = f"{uuid.uuid4().hex}.bin", [], 0
-        with files.open_output_stream(f"{root}/{name}") as out:
+        with files.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 ids += batch.column(0).to_pylist()
                 for text in batch.column(1):
@@ -71,21 +65,24 @@ def scan_token_files(files: DataFrame, end: int = bpe.END_OF_DOCUMENT, block_byt
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                files, at = _filesystem(row["file"])
+                files, at = filesystem(row["file"])
                 start = row["block"] * block_bytes
                 with files.open_input_file(at) as f:
                     ids = np.frombuffer(f.read_at(min(block_bytes, row["n_bytes"] - start) // 2 * 2, start), "<u2")
                 found = np.flatnonzero(ids == end).astype(np.int64) + start // 2
                 yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["block"]]), pa.array([row["n_bytes"] // 2]), pa.array([found], pa.list_(pa.int64()))], ["file", "block", "n_ids", "found"])
 
-    searched = blocks.repartition(spread, "file", "block").mapInArrow(search, "file string, block bigint, n_ids bigint, found array<bigint>")
+    searched = cut(blocks.repartition(spread, "file", "block").mapInArrow(search, "file string, block bigint, n_ids bigint, found array<bigint>"))
+    # The prefix scan sees two numbers for each block; the positions meet its result again by block, so a file's separators are never in one place.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = searched.select(
-        "*",
-        F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)).alias("documents_before"),
-        F.coalesce(F.max(F.expr("try_element_at(found, -1)")).over(before), F.lit(-1)).alias("last_before"),
+    scanned = searched.select("file", "block", F.size("found").alias("n_found"), F.expr("try_element_at(found, -1)").alias("last_found")).select(
+        "file",
+        "block",
+        F.coalesce(F.sum("n_found").over(before), F.lit(0)).alias("documents_before"),
+        F.coalesce(F.max("last_found").over(before), F.lit(-1)).alias("last_before"),
         (F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()).alias("is_last"),
     )
+    stitched = searched.join(scanned, ["file", "block"])
     stitched = stitched.select(
         "file", "documents_before", "last_before", "found", F.expr("CASE WHEN is_last AND coalesce(try_element_at(found, -1), last_before) + 1 < n_ids THEN concat(found, array(n_ids)) ELSE found END").alias("cuts")
     )

@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+import pytest
+
 from strandix.llm import mixing
 
 
@@ -39,3 +42,38 @@ def test_heavier_documents_are_taken_more_often(spark):
     got = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).where("source = 'x'").collect()
     good, bad = (sum(r.copies for r in got if r.doc_id % 2 == k) for k in (1, 0))
     assert good > 1.2 * bad > 0
+
+
+def test_given_target_weights(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice(["a", "a", "a", "b", None, "left out"])) for i in range(600)]
+    marks = [(i, i % 2, int(i % 9 == 0)) for i in range(0, 600, 2)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    targets = {"a": 0.2, "b": 0.5, None: 0.3, "absent": 9.0}
+    got = mixing.sample(docs, labels, 1.5, targets=targets).collect()
+    assert all(r.copies == 0 for r in got if r.source == "left out") and len(got) == 600
+    total = 1.5 * sum(r.n_tokens for r in got if r.source != "left out")
+    for s, w in (("a", 0.2), ("b", 0.5), (None, 0.3)):
+        taken = sum(r.n_tokens * r.copies for r in got if r.source == s)
+        assert total * w - 40 <= taken <= total * w
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duck.execute(mixing.sql(1.5, targets)).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    assert sorted(r.doc_id for r in mixing.mix(docs, labels, 1.5, targets=targets).collect()) == sorted(r.doc_id for r in got for _ in range(r.copies))
+    for bad in ({"a": -1.0}, {"a": float("nan")}):
+        with pytest.raises(ValueError):
+            mixing.sample(docs, labels, targets=bad)
+
+
+def test_columns_of_any_name_stay_and_many_labels_need_no_broadcast(spark, monkeypatch):
+    names = ["_mix_id", "_mix_copies", "_key", "_bucket", "of_source", "budget", "epochs", "cut_id", "_copy", "weight", "_0"]
+    docs = spark.createDataFrame([(i, "some words here", "s", *range(11)) for i in range(9)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(docs, labels)
+    assert got.columns == docs.columns and got.count() == 9 and tuple(got.first())[1:] == ("some words here", "s", *range(11))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, mixing.mix(docs, labels, 0.5).collect())) == sorted(map(tuple, mixing.mix(docs, labels, 0.5).collect())) and mixing.mix(docs, labels, 0.5).count() == 4

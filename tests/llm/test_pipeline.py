@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from strandix.llm import bpe
-from strandix.llm.token_files import read_documents
+from strandix.llm.token_files import open_documents
 
 from .test_decontaminate import brute as leaks
 from .test_quality import kneser_ney
@@ -73,5 +73,5 @@ def test_stages_against_brute_force(spark, tmp_path):
     # Shards: every copy, exactly.
     ids, got = bpe.encoder(), []
     for shard in corpus_pipeline.run(spark, d).collect():
-        got += [(i, x.tobytes()) for i, x in zip(shard.doc_ids, read_documents(bytes(shard.data), range(shard.n_docs)))]
+        got += [(i, x.tobytes()) for i, x in zip(shard.doc_ids, open_documents(shard.file, range(shard.n_docs)))]
     assert sorted(got) == sorted((r[0], ids(r[1])) for r in rows[4])

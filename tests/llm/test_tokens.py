@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandix.llm import bpe
-from strandix.llm.common import scratch
-from strandix.llm.token_counts import _filesystem, scan_token_files, token_counts, write_token_files
-from strandix.llm.token_files import read_documents, read_table, save, token_shards
+from strandix.llm.common import filesystem, scratch
+from strandix.llm.token_counts import scan_token_files, token_counts
+from strandix.llm.token_files import open_documents, read_documents, read_table, token_shards
 
 ROWS = [(1, "a few words", "x"), (2, "", "y"), (3, None, None), (None, "no id", "z"), (1, "a few words", "x"), (4, "long ééé <|endoftext|> " * 4000, "w"), (5, "日本語 😀\n\n tail ", "v")]
 
@@ -28,7 +28,7 @@ def test_counts_empty_table(spark):
 
 def test_scan_unterminated_and_empty_documents(spark):
     path = scratch(spark, "flat")
-    files, root = _filesystem(path)
+    files, root = filesystem(path)
     files.create_dir(root, recursive=True)
     e = 9
     contents = {"a": [1, 2, e, e, 3], "b": [e], "c": [], "d": [7], "e": [1, 2, 3, 4, 5, 6, 7, e, 8, e]}
@@ -49,14 +49,37 @@ def test_scan_unterminated_and_empty_documents(spark):
     assert sorted((r.file[-1], r.ordinal, r.first_token, r.n_tokens, r.terminated) for r in got) == sorted(want)
 
 
+def test_one_huge_file_is_stitched_over_many_blocks(spark):
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 50, 60_000).astype("<u2")
+    path = scratch(spark, "flat")
+    files, root = filesystem(path)
+    files.create_dir(root, recursive=True)
+    with files.open_output_stream(f"{root}/one") as f:
+        f.write(ids.tobytes())
+    got = scan_token_files(spark.createDataFrame([(f"{path}/one", 120_000)], "file string, n_bytes long"), end=7, block_bytes=500).orderBy("ordinal").collect()
+    cuts = np.flatnonzero(ids == 7)
+    starts = np.concatenate([[0], cuts + 1])
+    ends = np.concatenate([cuts, [len(ids)]])
+    want = [(i, int(a), int(b - a), i < len(cuts)) for i, (a, b) in enumerate(zip(starts, ends)) if i < len(cuts) or b > a]
+    assert [(r.ordinal, r.first_token, r.n_tokens, r.terminated) for r in got] == want
+
+
+def content(file):
+    files, at = filesystem(file)
+    with files.open_input_stream(at, compression=None) as f:
+        return f.read()
+
+
 def test_shards_round_trip_and_random_access(spark):
-    rows = token_shards(docs(spark), shard_bytes=5000).collect()
+    rows = token_shards(docs(spark), scratch(spark, "shards"), shard_bytes=5000).collect()
     seen, ids = [], bpe.encoder()
     for r in rows:
-        data = bytes(r.data)
+        data = content(r.file)
         assert len(data) == r.n_bytes and len(read_table(data)) == r.n_docs == len(r.doc_ids)
         for i in reversed(range(r.n_docs)):
             one = read_documents(data, [i])[0]
+            assert (open_documents(r.file, [i])[0] == one).all()
             seen.append((r.doc_ids[i], one.tobytes()))
         import zstandard
 
@@ -66,8 +89,47 @@ def test_shards_round_trip_and_random_access(spark):
     assert bpe.decoder()(np.frombuffer(ids(ROWS[6][1]), "<u2").tolist()) == ROWS[6][1]
 
 
+def test_a_reader_reads_what_it_asks_for_only(spark, monkeypatch):
+    from strandix.llm import token_files
+
+    rows = [(i, f"document {i} " * 500) for i in range(50)]
+    r = token_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), scratch(spark, "shards")).first()
+    read = []
+
+    class File:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+        def size(self):
+            return self.f.size()
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.f.read_at(n, at)
+
+    class Files:
+        def __init__(self, files):
+            self.files = files
+
+        def open_input_file(self, at):
+            return File(self.files.open_input_file(at))
+
+    real = token_files.filesystem
+    monkeypatch.setattr(token_files, "filesystem", lambda p: (Files(real(p)[0]), real(p)[1]))
+    k = r.doc_ids.index(17)
+    assert open_documents(r.file, [k])[0].tobytes() == bpe.encoder()(rows[17][1])
+    entry = read_table(content(r.file))[k]
+    assert sum(read) == 9 + 17 + 12 * r.n_docs + entry[1] < r.n_bytes / 2
+
+
 def test_damage_is_found(spark):
-    data = bytearray(token_shards(docs(spark).coalesce(1)).first().data)
+    data = bytearray(content(token_shards(docs(spark).coalesce(1), scratch(spark, "shards")).first().file))
     entries = read_table(bytes(data))
     k = int(np.argmax(entries[:, 1]))
     data[int(entries[k, 0] + entries[k, 1]) - 3] ^= 1
@@ -77,13 +139,5 @@ def test_damage_is_found(spark):
         read_table(bytes(data)[:-1])
 
 
-def test_save_and_empty(spark):
-    path = scratch(spark, "shards")
-    manifest = save(token_shards(docs(spark)), path)
-    files, root = _filesystem(path)
-    total = 0
-    for r in manifest.collect():
-        with files.open_input_stream(f"{root}/{r.file}") as f:
-            total += len(read_table(f.read()))
-    assert total == len(ROWS)
-    assert token_shards(docs(spark).where(F.lit(False))).count() == 0
+def test_no_shards_for_nothing(spark):
+    assert token_shards(docs(spark).where(F.lit(False)), scratch(spark, "shards")).count() == 0
