@@ -1,35 +1,39 @@
 """Operator 10, secret scans by grammar inference.
 
-Labelled credentials of each format make a prefix tree; statistically compatible states are merged (ALERGIA: red and blue states, Hoeffding tests of
-stopping and of every transition, recursively) into a probabilistic automaton. Its symbols are the characters of the format's common
-beginning as they are and, after it, a class for letters and digits; a state's outgoing class carries a distribution of characters, smoothed. A
-string's likelihood is that of its path, its characters and its stop.
+Labelled credentials make a prefix tree; statistically compatible states are merged (ALERGIA: red and blue states, Hoeffding tests of
+stopping and of every transition, recursively) into a probabilistic automaton. Examples of a format that begin alike (up to their first
+joining character, as ``password=``, or in their first four characters) are learned together, the others by the kinds of characters they are made of. An automaton's symbols are the
+characters of its examples' common beginning as they are and, after it, a class for letters and digits; a state's outgoing class carries a
+distribution of characters, smoothed. A string's likelihood is that of its path, its characters and its stop.
 
 A candidate starts where a run of characters of the credential alphabet does or after a joining character (one of ``_-+/=.``) in it, ends with the
 run or before a joining character, and has at least 12 characters. All candidates of every text are scored: the starts of a slice step through the
-transition tables together, a position at a time, and are scored wherever they may end. A candidate is accepted where its log likelihood a
-character under a format is no less than the least of that format's held-out examples less ``slack``, and it is no shorter than any example. Of a
-start the longest accepted candidate of each format counts, with the format of the highest; of candidates that overlap the first is reported.
-Nothing is shuffled.
+transition tables together, a position at a time, and are scored wherever they may end; only a start that has no path any more, or has come to
+its run's end, is done. A candidate is accepted where its log likelihood a character under an automaton is no less than the least of
+its held-out examples less ``slack``, and it is no shorter than any example. Of a start the longest accepted candidate of each automaton
+counts, with that of the highest margin; of candidates that overlap the first is reported. Nothing is shuffled.
 
-``EXAMPLES`` makes labelled sets for three public formats from a fixed seed, ``VARIED`` further passwords of many lengths and alphabets; by default
-both are learned from. Another set can be given.
+``EXAMPLES`` makes labelled sets for public formats from a fixed seed, of many key words, lengths and alphabets. Another set can be given, as lists
+by format or as a table (format, example), of which at most ``most_examples`` of each format, those of least hash, are learned.
 
-Cases: null and empty texts have no candidates; repeated rows are reported each; null doc_ids stay; candidates longer than any accepted string have
-no path and aren't reported unless a part is a candidate; ties between formats go to the first by name; an empty table gives no rows; other columns are ignored.
+Cases: null and empty texts have no candidates; repeated rows are reported each; null doc_ids stay; ties between formats go to the first by name; an
+empty table gives no rows; other columns are ignored. A format without examples finds nothing, and a set without formats gives no rows; of fewer than
+LEAST_HELD examples all are both learned and held out. A null or empty example is none.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import count
 from random import Random
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandix.llm.common import slices, table, utf8
 
@@ -46,20 +50,26 @@ _IN = _JOIN.copy()
 _IN[[*_ALNUM]] = True
 
 
-def EXAMPLES(n: int = 2000) -> dict[str, list[str]]:  # noqa: N802
+LEAST_HELD = 20
+MOST_EXAMPLES = 20_000
+
+
+def EXAMPLES(n: int = 600) -> dict[str, list[str]]:  # noqa: N802
     """Labelled credentials by format."""
     rng = Random(10)
+    lower, upper, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    word, url = lower + upper + digits, lower + upper + digits + "_-"
     pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
-    base32, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
-    return {"access_key": ["AKIA" + pick(base32, 16) for _ in range(n)], "hex_token": [pick(hexa, 40) for _ in range(n)], "password": ["password=" + pick(hexa, 18) for _ in range(n)]}
-
-
-def VARIED(n: int = 4000) -> list[str]:  # noqa: N802
-    """Labelled passwords of 8 to 32 characters of several alphabets."""
-    rng = Random(11)
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    alphabets = ["0123456789abcdef", lower + digits, upper + digits, lower + upper + digits, lower + upper, lower + upper + digits + "_-"]
-    return ["password=" + "".join(rng.choice(alphabets[i % 6]) for _ in range(rng.randint(8, 32))) for i in range(n)]
+    alphabets = [hexa, lower + digits, upper + digits, word, lower + upper, url]
+    keys = [f(k) for k in ("password", "passwd", "pwd", "secret") for f in (str.lower, str.upper, str.title)]
+    return {
+        "access_key": [head + pick(upper + "234567", 16) for head in ("AKIA", "ASIA") for _ in range(n)],
+        "hex_token": [pick(letters, 40) for letters in (hexa, hexa.upper()) for _ in range(n)],
+        "password": [f"{k}={pick(alphabets[i % 6], rng.randint(8, 32))}" for k in keys for i in range(n)],
+        "personal_token": [f"{head}_{pick(word, 36)}" for head in ("ghp", "gho", "ghs") for _ in range(n)],
+        "service_key": [f"{head}_{pick(word, rng.randint(24, 34))}" for head in ("sk_live", "rk_live") for _ in range(n)],
+        "signed_token": ["eyJ" + ".".join(pick(url, rng.randint(*r)) for r in ((17, 40), (40, 120), (43, 43))) for _ in range(n)],
+    }
 
 
 class Automaton:
@@ -162,7 +172,28 @@ class Automaton:
                 # A character not seen on this edge is as if seen a hundredth of a time.
                 for c in _ALNUM:
                     self.p_char[i, s, c] = math.log(n_edge / self.count[q] * (self.chars[q][s][c] + 0.01) / (n_edge + 0.62))
-        self.longest = 512
+        self.longest = self._longest()
+
+    def _longest(self) -> int | None:
+        """The length of the longest string with a path; None where there is a loop, so any length may have one."""
+        n, length = len(self.states), {}
+        order, state = [], [0] * n
+        todo = [(0, False)]
+        while todo:
+            q, left = todo.pop()
+            if left:
+                state[q] = 2
+                order.append(q)
+            elif not state[q]:
+                state[q] = 1
+                todo.append((q, True))
+                for to in {int(t) for t in self.to[q] if t < n}:
+                    if state[to] == 1:
+                        return None
+                    todo.append((to, False))
+        for q in order:
+            length[q] = max((length[int(t)] + 1 for t in set(self.to[q].tolist()) if t < n), default=0)
+        return length[0]
 
     def score(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log likelihood a character of each buf[start:end]; -inf where there is no path."""
@@ -171,7 +202,7 @@ class Automaton:
         out = np.full(len(start), -np.inf)
         is_class = np.zeros(256, bool)
         is_class[list(_ALNUM)] = True
-        for i in range(self.longest + 1):
+        for i in count():
             ended = (end - start)[alive] == i
             done = alive[ended]
             out[done] = (total[done] + self.p_stop[state[done]]) / np.maximum(end[done] - start[done], 1)
@@ -185,7 +216,6 @@ class Automaton:
             alive = alive[state[alive] != dead]
         return out
 
-
     def longest_accepted(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """For each start the furthest place, its run's end or a joining character, up to which the log likelihood a character is at least ``least``, and that likelihood; -1 and -inf where there is none."""
         state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
@@ -193,7 +223,7 @@ class Automaton:
         to, scores = np.full(len(start), -1, np.int64), np.full(len(start), -np.inf)
         is_class = np.zeros(256, bool)
         is_class[list(_ALNUM)] = True
-        for i in range(self.longest + 1):
+        for i in count():
             at = start[alive] + i
             inside = at < end[alive]
             c = np.where(inside, buf[np.minimum(at, len(buf) - 1)], 0).astype(np.int64)
@@ -211,22 +241,57 @@ class Automaton:
         return to, scores
 
 
-def learn(examples: dict[str, list[str]]) -> dict[str, tuple[Automaton, float]]:
-    """An automaton and its threshold for each format; every fifth example is held out for the threshold."""
-    out = {}
+def _heads(examples: list[str]) -> list[str]:
+    """What each example is learned with: its beginning up to the first joining character or its first four characters, whichever enough others share, or else the kinds of its characters."""
+
+    def word(e: str) -> str:
+        return next((e[: i + 1] for i, c in enumerate(e) if c in "_-+/=."), "")
+
+    words, firsts = Counter(map(word, examples)), Counter(e[:4] for e in examples)
+    enough = max(LEAST_HELD, len(examples) // 20)
+    kinds = lambda e: "".join(k for k, f in (("a", str.islower), ("A", str.isupper), ("0", str.isdigit)) if any(map(f, e)))
+    return [w if (w := word(e)) and words[w] >= enough else e[:4] if firsts[e[:4]] >= enough else kinds(e) for e in examples]
+
+
+def learn(examples: Mapping[str, Iterable[str | None]]) -> list[tuple[str, Automaton, float]]:
+    """(format, automaton, threshold) by format; every fifth example is held out for the threshold."""
+    out = []
     for name, strings in sorted(examples.items()):
-        automaton = Automaton([e for i, e in enumerate(strings) if i % 5])
-        held = [e.encode() for e in strings[::5]]
-        buf = np.frombuffer(b"".join(held), np.uint8)
-        ends = np.cumsum([len(h) for h in held])
-        scores = automaton.score(buf, ends - [len(h) for h in held], ends)
-        out[name] = (automaton, float(scores[np.isfinite(scores)].min()))
+        by_head: dict[str, list[str]] = defaultdict(list)
+        known = [e for e in strings if e]
+        for e, head in zip(known, _heads(known)):
+            by_head[head].append(e)
+        # Heads of their own need examples enough; the rest of a format is one group.
+        few = [h for h, g in by_head.items() if len(g) < LEAST_HELD]
+        groups = [g for h, g in sorted(by_head.items()) if h not in few] + [g for g in [[e for h in sorted(few) for e in by_head[h]]] if g]
+        for group in groups:
+            whole = len(group) < LEAST_HELD
+            automaton = Automaton(group if whole else [e for i, e in enumerate(group) if i % 5])
+            held = [e.encode() for e in (group if whole else group[::5])]
+            ends = np.cumsum([len(h) for h in held])
+            scores = automaton.score(np.frombuffer(b"".join(held), np.uint8), ends - [len(h) for h in held], ends)
+            if np.isfinite(scores).any():
+                out.append((name, automaton, float(scores[np.isfinite(scores)].min())))
     return out
 
 
-def scan(docs: DataFrame, examples: dict[str, list[str]] | None = None, slack: float = SLACK) -> DataFrame:
+def labelled(examples: DataFrame, most_examples: int = MOST_EXAMPLES) -> dict[str, list[str]]:
+    """A table (format, example) as lists by format, of bounded size."""
+    rows = examples.select(F.col("format").cast("string").alias("format"), F.col("example").cast("string").alias("example")).where("format IS NOT NULL AND length(example) > 0").distinct()
+    rank = F.row_number().over(Window.partitionBy("format").orderBy(F.xxhash64("example"), "example"))
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in rows.withColumn("r", rank).where(F.col("r") <= most_examples).orderBy("format", "r").collect():
+        out[r.format].append(r.example)
+    return dict(out)
+
+
+def scan(docs: DataFrame, examples: Mapping[str, Iterable[str | None]] | DataFrame | None = None, slack: float = SLACK, most_examples: int = MOST_EXAMPLES) -> DataFrame:
     """(doc_id, first_char, format, candidate, log_likelihood) of every credential found."""
-    models = docs.sparkSession.sparkContext.broadcast(learn(examples or (known := EXAMPLES()) | {"password": known["password"] + VARIED()}))
+    known = EXAMPLES() if examples is None else labelled(examples, most_examples) if isinstance(examples, DataFrame) else examples
+    learned = learn(known)
+    if not learned:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    models = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = models.value
@@ -252,8 +317,8 @@ def scan(docs: DataFrame, examples: dict[str, list[str]] | None = None, slack: f
                 end = end[end - run >= LEAST]
                 if not len(start):
                     continue
-                ends, scores = (np.stack(x) for x in zip(*[a.longest_accepted(buf, start, end, least - slack) for a, least in automata.values()]))
-                above = scores - np.array([least for _, least in automata.values()])[:, None]
+                ends, scores = (np.stack(x) for x in zip(*[a.longest_accepted(buf, start, end, least - slack) for _, a, least in automata]))
+                above = scores - np.array([least for _, _, least in automata])[:, None]
                 best = above.argmax(axis=0)
                 past = 0
                 for i in np.flatnonzero(above.max(axis=0) > -np.inf).tolist():
@@ -262,7 +327,7 @@ def scan(docs: DataFrame, examples: dict[str, list[str]] | None = None, slack: f
                     past = int(ends[best[i], i])
                     d = int(np.searchsorted(at, start[i], "right")) - 1
                     first = int(((buf[at[d] : start[i]] & 0xC0) != 0x80).sum())
-                    rows.append((ids[lo + d], first, list(automata)[best[i]], buf[start[i] : past].tobytes().decode(), float(scores[best[i], i])))
+                    rows.append((ids[lo + d], first, automata[best[i]][0], buf[start[i] : past].tobytes().decode(), float(scores[best[i], i])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64()))], ["doc_id", "first_char", "format", "candidate", "log_likelihood"]
             )
