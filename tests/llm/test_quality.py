@@ -62,7 +62,7 @@ def test_matches_plain_model_by_either_way_and_separates(spark):
     assert set(held) == {i for i, q, _ in marks if q} and 0 < sum(held.values()) < len(held)
     plain = kneser_ney([t for i, t, *_ in rows if held.get(i) is False])
     one = {r.doc_id: r._perplexity for r in score(docs).collect()}
-    two = {r.doc_id: r._perplexity for r in fit(docs, labels, most_broadcast=0)[0](docs).collect()}
+    two = {r.doc_id: r._perplexity for r in fit(docs, labels, most_broadcast=1000)[0](docs).collect()}
     for i, t, *_ in rows:
         assert math.isclose(one[i], plain(t), rel_tol=1e-4) and math.isclose(two[i], one[i], rel_tol=1e-6)
     out = {r.doc_id: r for r in classify(docs, labels).collect()}
@@ -97,4 +97,4 @@ def test_one_trusted_outlier_does_not_set_the_limit(spark):
     out = {r.doc_id: r for r in classify(docs, labels).collect()}
     bad = [i for i, *_ in rows if i % 8 == 0]
     assert not any(out[i].keep for i in [*bad, odd]) and sum(r.keep for r in out.values()) >= 0.97 * (len(rows) - len(bad))
-    assert {i: r.keep for i, r in out.items()} == {r.doc_id: r.keep for r in classify(docs, labels, most_broadcast=0).collect()}
+    assert {i: r.keep for i, r in out.items()} == {r.doc_id: r.keep for r in classify(docs, labels, most_broadcast=1000).collect()}
