@@ -1,20 +1,21 @@
-"""Splitting and counting over whole batches of texts: plain Python on strings, each linear in a text's length, called by Arrow-fed functions."""
+"""Splitting and counting over whole batches of texts: plain Python on strings, each linear in a text's length, called by Arrow-fed functions;
+term lists are handled as flat Arrow arrays."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Every Unicode white space, line ends and the byte order mark.
 WHITE = "\t\n\v\f\r                  　﻿"
 _HEADING = re.compile(rf"(#{{1,6}})[{WHITE}]+([^\n\r  ]*)")
 _BLANK = re.compile(r"\n{2,}")
 
-TERMS = pa.list_(pa.struct([("term", pa.string()), ("count", pa.int32())]))
 PIECES = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string())]))
 
 
@@ -88,28 +89,89 @@ def pieces(text: str, size: int, overlap: int) -> list[dict]:
     return [{"heading": h, "content": c} for h, body in sections(text) for c in packed(body, size, overlap)]
 
 
-def counted(tokens: list[str] | None) -> list[dict] | None:
-    """(term, count) by term."""
-    return None if tokens is None else [{"term": t, "count": n} for t, n in sorted(Counter(tokens).items())]
-
-
-def pairs(terms: list[dict] | None) -> str | None:
-    """[[term, count], ...] as JSON."""
-    return None if terms is None else json.dumps([[t["term"], t["count"]] for t in terms], ensure_ascii=False, separators=(",", ":"))
-
-
-def unpaired(text: str | None) -> list[dict] | None:
-    """The inverse of ``pairs``; None for anything that isn't a list of pairs of a string and a number."""
-    if text is None:
-        return None
-    try:
-        rows = json.loads(text)
-    except ValueError:
-        return None
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each element of a list column, and the elements; null lists have none."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+
+def codes(terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the terms in their order, and the distinct terms."""
+    coded = terms.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64), coded.dictionary.take(order)
+
+
+def lists_of(rows: np.ndarray, n: int, fields: dict[str, pa.Array], missing: pa.Array | None = None) -> pa.Array:
+    """A column of n lists of structs from the row of each element, ascending; `missing` marks lists that are null."""
+    offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
+    if missing is not None and missing.true_count:
+        offsets = pc.if_else(pa.concat_arrays([missing, pa.array([False])]), pa.scalar(None, pa.int32()), offsets)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def counted(tokens: pa.Array) -> pa.Array:
+    """(term, count) of each list of tokens, by term."""
+    owner, elements = flat(tokens)
+    code, terms = codes(elements)
+    pair, n = np.unique(owner * max(len(terms), 1) + code, return_counts=True)
+    rows, code = pair // max(len(terms), 1), pair % max(len(terms), 1)
+    return lists_of(rows, len(tokens), {"term": terms.take(pa.array(code)), "count": pa.array(n.astype(np.int32))}, tokens.is_null())
+
+
+def merged(content: pa.Array, heading: pa.Array) -> pa.Array:
+    """(term, c, h) of each term of either list of (term, count), by term."""
+    (co, ce), (ho, he) = flat(content), flat(heading)
+    code, terms = codes(pa.concat_arrays([ce.field("term"), he.field("term")]))
+    v = max(len(terms), 1)
+    pair, at = np.unique(np.concatenate([co, ho]) * v + code, return_inverse=True)
+    c = np.bincount(at[: len(co)], ce.field("count").to_numpy(zero_copy_only=False), len(pair)).astype(np.int32)
+    h = np.bincount(at[len(co) :], he.field("count").to_numpy(zero_copy_only=False), len(pair)).astype(np.int32)
+    return lists_of(pair // v, len(content), {"term": terms.take(pa.array(pair % v)), "c": pa.array(c), "h": pa.array(h)})
+
+
+def term_stats(content: pa.Array, heading: pa.Array) -> pa.Array:
+    """Like ``merged`` from the lists of tokens."""
+    (co, ce), (ho, he) = flat(content), flat(heading)
+    code, terms = codes(pa.concat_arrays([ce, he]))
+    v = max(len(terms), 1)
+    # The lowest bit tells headings from contents, so one sort counts both.
+    seen, n = np.unique((np.concatenate([co, ho]) * v + code) * 2 + (np.arange(len(code)) >= len(co)), return_counts=True)
+    pair, at = np.unique(seen >> 1, return_inverse=True)
+    of = [np.bincount(at, n * ((seen & 1) == k), len(pair)).astype(np.int32) for k in (0, 1)]
+    return lists_of(pair // v, len(content), {"term": terms.take(pa.array(pair % v)), "c": pa.array(of[0]), "h": pa.array(of[1])})
+
+
+def pairs(terms: pa.Array) -> pa.Array:
+    """[[term, count], ...] as JSON, of each list of (term, count)."""
+    owner, elements = flat(terms)
+    code, distinct = codes(elements.field("term"))
+    quoted = pa.array([json.dumps(t, ensure_ascii=False) for t in distinct.to_pylist()], pa.string()).take(pa.array(code))
+    one = pc.binary_join_element_wise("[", quoted, ",", elements.field("count").cast(pa.string()), "]", "")
+    offsets = pa.array(np.searchsorted(owner, np.arange(len(terms) + 1)).astype(np.int32))
+    joined = pc.binary_join_element_wise("[", pc.binary_join(pa.ListArray.from_arrays(offsets, one), ","), "]", "")
+    return pc.if_else(terms.is_null(), pa.scalar(None, pa.string()), joined)
+
+
+def unpaired(lines: pa.Array) -> pa.Array:
+    """The inverse of ``pairs``; null for anything that isn't a list of pairs of a string and a number."""
     number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and -(2**31) <= x < 2**31
-    if not isinstance(rows, list) or not all(isinstance(r, list) and len(r) == 2 and isinstance(r[0], str) and number(r[1]) for r in rows):
-        return None
-    return [{"term": t, "count": int(n)} for t, n in rows]
+    rows, terms, counts, missing = [], [], [], []
+    for i, text in enumerate(lines.to_pylist()):
+        try:
+            got = None if text is None else json.loads(text)
+        except ValueError:
+            got = None
+        good = isinstance(got, list) and all(isinstance(r, list) and len(r) == 2 and isinstance(r[0], str) and number(r[1]) for r in got)
+        missing.append(not good)
+        if good:
+            rows.append(np.full(len(got), i))
+            terms += [r[0] for r in got]
+            counts += [int(r[1]) for r in got]
+    rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return lists_of(rows, len(lines), {"term": pa.array(terms, pa.string()), "count": pa.array(counts, pa.int32())}, pa.array(missing))
 
 
 def each(f: Callable, kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:

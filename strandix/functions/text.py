@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from strandix.functions import kernels as K
 _TOKEN = r"(?=(\p{IsHan}{2}|(?<!\p{IsHan})\p{IsHan}(?!\p{IsHan})|[a-z0-9]+))(?:\p{IsHan}|[a-z0-9]+)"
 
 
+def arrow(f: Callable, kind: str) -> Callable[..., Column]:
+    """An Arrow-fed function that is called once for a row. Were it taken for deterministic, a filter on its result (explode makes one) would be pushed below a shuffle and call it again there."""
+    return F.arrow_udf(f, kind).asNondeterministic()
+
+
 def text_trim(text: Column) -> Column:
     """Trims every Unicode white space, line ends and the byte order mark."""
     return F.trim(text, F.lit(K.WHITE))
@@ -23,7 +30,7 @@ def tokenize(text: Column) -> Column:
 
 def term_counts(tokens: Column) -> Column:
     """Array of (term, count), by term."""
-    return F.arrow_udf(K.each(K.counted, K.TERMS), "array<struct<term:string,count:int>>")(tokens)
+    return arrow(K.counted, "array<struct<term:string,count:int>>")(tokens)
 
 
 def hard_split(text: Column, size: int, overlap: int) -> Column:
@@ -32,12 +39,12 @@ def hard_split(text: Column, size: int, overlap: int) -> Column:
 
     if size < 1 or not 0 <= overlap < size:
         raise ValueError(f"need size >= 1 and 0 <= overlap < size, not {size} and {overlap}")
-    return F.arrow_udf(K.each(lambda t: None if t is None else K.windows(t, size, overlap), pa.list_(pa.string())), "array<string>")(text)
+    return arrow(K.each(lambda t: None if t is None else K.windows(t, size, overlap), pa.list_(pa.string())), "array<string>")(text)
 
 
 def split_semantic(text: Column, size: int, overlap: int) -> Column:
     """Array of (heading, content) chunks: sections below Markdown headings with the path of headings above, their paragraphs packed to `size`."""
-    return F.arrow_udf(K.each(lambda t: K.pieces(t or "", size, overlap), K.PIECES), "array<struct<heading:string,content:string>>")(text)
+    return arrow(K.each(lambda t: K.pieces(t or "", size, overlap), K.PIECES), "array<struct<heading:string,content:string>>")(text)
 
 
 def embedding_text(heading: Column, content: Column, heading_weight: float = 1) -> Column:

@@ -40,10 +40,9 @@ def build_chunks(documents: DataFrame, options: IngestOptions = IngestOptions(),
 
 
 def with_keyword_stats(rows: DataFrame) -> DataFrame:
-    for name in ("heading", "content"):
-        tokens = tokenize(F.col(name))
-        rows = rows.withColumn(f"kw_{name}_terms", term_counts(tokens)).withColumn(f"kw_{name}_count", F.size(tokens))
-    return rows
+    # Tokens are a column of their own first, so that a text is tokenised once for both of what is made of them.
+    rows = rows.withColumns({f"_{n}": tokenize(F.col(n)) for n in ("heading", "content")})
+    return rows.withColumns({c: x for n in ("heading", "content") for c, x in ((f"kw_{n}_terms", term_counts(F.col(f"_{n}"))), (f"kw_{n}_count", F.size(f"_{n}")))}).drop("_heading", "_content")
 
 
 def complete_keyword_stats(rows: DataFrame) -> DataFrame:

@@ -15,29 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandix.functions.text import tokenize
+from strandix.functions import kernels as K
+from strandix.functions.text import arrow, tokenize
 from strandix.operators.chunks import complete_keyword_stats
 
 K1, B = 1.2, 0.75
 #: Chunks of a block, and bytes beyond which it is closed earlier.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
-_MERGED = pa.list_(pa.struct([("term", pa.string()), ("c", pa.int32()), ("h", pa.int32())]))
 
 
-def _merge(content: pa.Array, heading: pa.Array) -> pa.Array:
-    out = []
-    for c, h in zip(content.to_pylist(), heading.to_pylist()):
-        row = {t["term"]: [t["count"], 0] for t in c}
-        for t in h:
-            row.setdefault(t["term"], [0, 0])[1] += t["count"]
-        out.append([{"term": k, "c": a, "h": b} for k, (a, b) in row.items()])
-    return pa.array(out, _MERGED)
+_TERMS = "array<struct<term:string,c:int,h:int>>"
+_STATS = ("kw_heading_terms", "kw_heading_count", "kw_content_terms", "kw_content_count")
 
 
 def with_terms(chunks: DataFrame) -> DataFrame:
-    """The chunks, statistics completed, with the column terms: (term, c, h) of each term of content or heading."""
-    merge = F.arrow_udf(_merge, "array<struct<term:string,c:int,h:int>>")
-    return complete_keyword_stats(chunks).withColumn("terms", merge("kw_content_terms", "kw_heading_terms"))
+    """The chunks with the column terms: (term, c, h) of each term of content or heading. Statistics that rows carry are taken; the others are counted."""
+    if {*_STATS} <= {*chunks.columns}:
+        return complete_keyword_stats(chunks).withColumn("terms", arrow(K.merged, _TERMS)("kw_content_terms", "kw_heading_terms"))
+    rows = chunks.drop(*_STATS).withColumns({"_c": tokenize(F.col("content")), "_h": tokenize(F.col("heading"))})
+    return rows.withColumns({"terms": arrow(K.term_stats, _TERMS)("_c", "_h"), "kw_content_count": F.size("_c"), "kw_heading_count": F.size("_h")}).drop("_c", "_h")
 
 
 def postings(chunks: DataFrame) -> DataFrame:

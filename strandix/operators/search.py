@@ -1,8 +1,8 @@
 """Hybrid search of a batch of questions: exact dense product fused with max-normalised BM25, a pool per question, then diversification.
 
-Both sides are packed: the store in blocks of about a thousand chunks, the questions in portions of at most PORTION. Each block meets each portion in a
-task, which computes all scores of that cell as matrices and keeps every question's pool over all blocks of its partition. So no row for a
-question and a chunk exists outside a task but those of the pools, and the questions don't pass through the driver. The greatest keyword score
+Both sides are packed: the store in blocks of about a thousand chunks, the questions in portions of at most PORTION: one portion is broadcast, more
+are joined with the blocks and don't pass through the driver. Each block meets each portion in a task, which computes all scores of that cell as matrices and keeps every question's pool over all blocks of its partition. So no row for a
+question and a chunk exists outside a task but those of the pools. The greatest keyword score
 of each question, by which BM25 is normalised, comes from a first pass that emits one number per question and partition.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ class Portion:
         vectors = [r["embedding"] for r in rows]
         if len({len(v) for v in vectors}) > 1:
             raise ValueError("the questions' vectors differ in dimension")
-        self.vectors = np.array(vectors, np.float32).astype(np.float64).reshape(len(rows), -1)
+        self.vectors = np.array(vectors, np.float32).astype(np.float64).reshape(len(rows), len(vectors[0]) if vectors else 0)
         self.best = np.array([r["best"] or 0.0 for r in rows])
         terms = [(t["term"], i, t["qtf"], t["df"]) for i, r in enumerate(rows) for t in r["terms"] or []]
         hashes, who, qtf, df = (np.array(x, k) for x, k in zip(zip(*terms) if terms else ((),) * 4, (np.int64, np.int64, np.float64, np.float64)))
@@ -82,8 +83,31 @@ class Portion:
         return out
 
 
-def _portions(questions: DataFrame, index: KeywordIndex | None, repeat: int, best: DataFrame | None = None, portion: int = PORTION, n: int | None = None) -> tuple[DataFrame, Callable]:
-    """Rows (name, portion), each the questions of one portion as an Arrow stream, and the function that reads one."""
+@dataclass
+class Asked:
+    """Questions ready to meet blocks: at most PORTION of them as one portion that is broadcast, more as rows (name, portion) that are joined."""
+
+    totals: tuple[int, int, int]
+    rows: DataFrame
+    one: Portion | None
+    size: int
+
+    def packed(self) -> DataFrame:
+        portion = self.size
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, portion):
+                    part, sink = batch.slice(lo, portion), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["name", "portion"])
+
+        return self.rows.repartition(max(1, -(-self.rows.count() // portion))).mapInArrow(pack, "name string, portion binary")
+
+
+def _asked(questions: DataFrame, index: KeywordIndex | None, repeat: int, portion: int = PORTION) -> Asked:
+    """index: None where keywords don't count."""
     rows = questions.select(F.col("question_id").cast("bigint").alias("question_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     totals = (0, 0, 0)
     if index is None:
@@ -94,53 +118,53 @@ def _portions(questions: DataFrame, index: KeywordIndex | None, repeat: int, bes
         asked = question_terms(questions.select(F.col("question_id").cast("bigint").alias("question_id"), "question")).join(df, "term")
         lists = asked.groupBy("question_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), "qtf", "df")).alias("terms"))
         rows = rows.join(lists, "question_id", "left")
-    rows = rows.join(best, "question_id", "left") if best is not None else rows.withColumn("best", F.lit(None).cast("double"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, portion):
-                part, sink = batch.slice(lo, portion), pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["name", "portion"])
+    rows = rows.select("question_id", "embedding", "terms", F.lit(None).cast("double").alias("best"))
+    few = [r.asDict(recursive=True) for r in rows.limit(portion + 1).collect()]
+    return Asked(totals, rows, Portion(few, totals) if len(few) <= portion else None, portion)
 
-    def read(raw: pa.Buffer) -> Portion:
-        return Portion(pa.ipc.open_stream(raw).read_all().to_pylist(), totals)
 
-    n = questions.count() if n is None else n
-    packed = rows.select("question_id", "embedding", "terms", "best").repartition(max(1, -(-n // portion))).mapInArrow(pack, "name string, portion binary")
-    return packed, read
-
-
-def _cells(blocks: DataFrame, packed: DataFrame, read: Callable[[pa.Buffer], Portion], collector: Callable[[], object], schema: str) -> DataFrame:
+def _cells(blocks: DataFrame, asked: Asked, collector: Callable[[], object], schema: str) -> DataFrame:
     """A collector made in each task takes each block with each portion; what its `rows` gives, now and at the end, is emitted.
 
-    This is a stated set of questions in portions against all rows in blocks; Spark broadcasts the smaller side if its size is small enough and
-    otherwise pairs partitions.
+    This is a stated set of questions in portions against all rows in blocks. Beyond one portion Spark broadcasts the smaller side if its
+    size is small enough and otherwise pairs partitions.
     """
+    if asked.one is not None:
+        shared = blocks.sparkSession.sparkContext.broadcast(asked.one)
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            into = collector()
+            for batch in batches:
+                for raw in batch.column(0):
+                    into.add("", shared.value, Block.unpack(memoryview(raw.as_buffer())))
+                    yield from into.rows(False)
+            yield from into.rows(True)
+
+        return blocks.select("block").mapInArrow(alone, schema)
+    totals = asked.totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         portions: dict[str, Portion] = {}
         into = collector()
         for batch in batches:
-            for raw, name, asked in zip(*batch.columns):
+            for raw, name, packed in zip(*batch.columns):
                 name = name.as_py()
                 if name not in portions:
                     if len(portions) >= 32:
                         portions.pop(next(iter(portions)))
-                    portions[name] = read(asked.as_buffer())
+                    portions[name] = Portion(pa.ipc.open_stream(packed.as_buffer()).read_all().to_pylist(), totals)
                 into.add(name, portions[name], Block.unpack(memoryview(raw.as_buffer())))
                 yield from into.rows(False)
         yield from into.rows(True)
 
-    return blocks.crossJoin(packed).select("block", "name", "portion").mapInArrow(run, schema)
+    return blocks.crossJoin(asked.packed()).select("block", "name", "portion").mapInArrow(run, schema)
 
 
 def raw_scores(index: KeywordIndex, questions: DataFrame, repeat: int = 2) -> DataFrame:
     """(question_id, ord, raw) of the chunks that share a term with the question."""
     if "embedding" not in questions.columns:
         questions = questions.withColumn("embedding", F.array().cast("array<float>"))
-    packed, read = _portions(questions, index, repeat)
+    asked = _asked(questions, index, repeat)
     totals = index.totals
 
     class Pairs:
@@ -156,12 +180,12 @@ def raw_scores(index: KeywordIndex, questions: DataFrame, repeat: int = 2) -> Da
             out, self.out = self.out, []
             return iter(out)
 
-    return _cells(index.blocks, packed, read, Pairs, "question_id bigint, ord bigint, raw double")
+    return _cells(index.blocks, asked, Pairs, "question_id bigint, ord bigint, raw double")
 
 
-def _best(index: KeywordIndex, packed: DataFrame, read: Callable, repeat: int) -> DataFrame:
-    """(question_id, best): the greatest raw keyword score of each question."""
-    totals = index.totals
+def _with_best(index: KeywordIndex, asked: Asked, repeat: int) -> Asked:
+    """The questions with the greatest raw keyword score of each."""
+    totals = asked.totals
 
     class Best:
         def __init__(self) -> None:
@@ -175,7 +199,12 @@ def _best(index: KeywordIndex, packed: DataFrame, read: Callable, repeat: int) -
             for ids, top in self.held.values() if end else ():
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(top)], ["question_id", "best"])
 
-    return _cells(index.blocks, packed, read, Best, "question_id bigint, best double").groupBy("question_id").agg(F.max("best").alias("best"))
+    best = _cells(index.blocks, asked, Best, "question_id bigint, best double").groupBy("question_id").agg(F.max("best").alias("best"))
+    if asked.one is None:
+        return replace(asked, rows=asked.rows.drop("best").join(best, "question_id", "left"))
+    known = {r.question_id: r.best for r in best.collect()}
+    asked.one.best = np.array([known.get(i, 0.0) for i in asked.one.ids.tolist()])
+    return asked
 
 
 def top_of(keys: np.ndarray, k: int) -> np.ndarray:
@@ -190,13 +219,12 @@ def candidates(store: DataFrame, questions: DataFrame, options: RankingOptions =
     """
     w, pool, least, repeat = options.keyword_weight, options.pool, options.min_score, options.repeat
     index = index or KeywordIndex.build(store)
-    n = questions.count()
-    used = index if w > 0 else None
-    packed, read = _portions(questions, used, repeat, portion=portion, n=n)
-    totals = (0, 0, 0)
+    asked = _asked(questions, index if w > 0 else None, repeat, portion)
+    if asked.one is not None and not len(asked.one.ids):
+        return store.sparkSession.createDataFrame([], HIT)
     if w > 0:
-        totals = index.totals
-        packed, read = _portions(questions, index, repeat, _best(index, packed, read, repeat), portion, n)
+        asked = _with_best(index, asked, repeat)
+    totals = asked.totals
 
     class Pools:
         def __init__(self) -> None:
@@ -237,11 +265,11 @@ def candidates(store: DataFrame, questions: DataFrame, options: RankingOptions =
             for parts in self.held.values() if end else ():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in self.merged(parts)], ["question_id", "ord", "score", "vector_score", "keyword_score"])
 
-    pools = _cells(index.blocks, packed, read, Pools, POOL)
+    pools = _cells(index.blocks, asked, Pools, POOL)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "ord")
     top = pools.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
     wide = store.select("ord", "id", "source", "chunk_index", "heading", "content")
-    joined = wide.join(F.broadcast(top) if n * pool <= MOST_POOLED else top, "ord")
+    joined = wide.join(F.broadcast(top) if asked.one is not None and len(asked.one.ids) * pool <= MOST_POOLED else top, "ord")
     return joined.select("question_id", "rank", "ord", "id", "source", "chunk_index", "heading", "content", "score", "vector_score", "keyword_score")
 
 

@@ -6,13 +6,13 @@ import json
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandix.config import ModelConfig, StoreMeta
 from strandix.functions import kernels as K
+from strandix.functions.text import arrow
 from strandix.functions.vectors import is_valid
 
 TERMS = "array<struct<term:string,count:int>>"
@@ -22,7 +22,7 @@ COLUMNS = ["ord", "id", "source", "chunk_index", "heading", "content", "hash", "
 def record_lines(store: DataFrame) -> DataFrame:
     """(ord, value): a JSON line for each record. Absent statistics are left out."""
     base = F.to_json(F.struct("id", "source", F.col("chunk_index").alias("chunkIndex"), "heading", "content", "hash", "embedding", F.col("kw_heading_count").alias("keywordHeadingTokenCount"), F.col("kw_content_count").alias("keywordContentTokenCount")))
-    pairs = F.arrow_udf(K.each(K.pairs, pa.string()), "string")
+    pairs = arrow(K.pairs, "string")
     extra = [F.coalesce(F.concat(F.lit(f',"{n}":'), pairs(F.col(c))), F.lit("")) for c, n in (("kw_heading_terms", "keywordHeadingTerms"), ("kw_content_terms", "keywordContentTerms"))]
     return store.select("ord", F.concat(F.substring(base, F.lit(1), F.length(base) - 1), *extra, F.lit("}")).alias("value"))
 
@@ -85,16 +85,16 @@ _NUMBER = ("BIGINT", "DOUBLE", "DECIMAL", "INT", "SMALLINT", "TINYINT", "FLOAT")
 
 
 def _terms(v: Column, path: str) -> Column:
-    return F.arrow_udf(K.each(K.unpaired, K.TERMS), TERMS)(F.try_variant_get(v, path, "string"))
+    return arrow(K.unpaired, TERMS)(F.try_variant_get(v, path, "string"))
 
 
 def parse_records(lines: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """lines(ord, value) without the header to (store, rejects(ord, reason, id))."""
     v = F.col("v")
     rows = lines.withColumn("v", F.try_parse_json("value"))
-    shape = F.schema_of_variant(v)
     # Literals that are no records count as unparseable, like broken lines.
-    broken = v.isNull() | shape.isin("VOID") | F.coalesce(F.try_variant_get(v, "$", "string").isin("0", "", "false", "0.0") & ~shape.startswith("OBJECT"), F.lit(False))
+    record = F.ltrim("value").startswith("{")
+    broken = v.isNull() | (~record & F.coalesce(F.try_variant_get(v, "$", "string").isin("0", "", "false", "0.0"), F.lit(True)))
     numbers = F.regexp_like(F.schema_of_variant(F.try_variant_get(v, "$.embedding", "variant")), F.lit(r"^ARRAY<(BIGINT|DOUBLE|DECIMAL\(.*\)|FLOAT)>$"))
     fields = {
         "id": _typed(v, "$.id", "string", _TEXT),
