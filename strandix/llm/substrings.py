@@ -6,9 +6,12 @@ they stand for, so they are global: every task names alike without an exchange,
 ends. A symbol that spans ANCHOR words or more takes no part in further rounds; it is an anchor.
 
 Spark then groups the anchors: one that occurs in two documents is shared. Every window of MIN_WORDS words that holds a shared anchor is a
-candidate; windows are grouped by the hash of their words, which verifies them: a window that occurs in two documents is a repeat, and a
+candidate; windows are grouped by 96 bits of two hashes of their words, which verifies them: a window that occurs in two documents is a repeat, and a
 document's overlapping repeats are merged to spans. So each span is a union of windows each of which occurs in another document too.
 
+What HOT documents of one slice share is known there to be shared. Its rows in that task aren't grouped then; two of its documents stand for them where
+the value's other rows are grouped. So a passage in a third of all documents sends two rows from each task to one place, not all.
+
 Copies of a whole text are set apart first: one of them stands for all, and each of them is a repeat from end to end.
 
 Cases: texts of fewer than MIN_WORDS words have no repeats; null and empty texts neither; rows of one doc_id are one document, so what repeats only
@@ -31,6 +34,8 @@ from strandix.llm.common import U, Words, cut, mix, prefixes, slices, spans, tab
 MIN_WORDS = 50
 ANCHOR = 8
 ROUNDS = 14
+#: Documents of a slice that must share a value for its rows to be left out of the grouping.
+HOT = 8
 
 
 def recompress(symbols: np.ndarray, owner: np.ndarray, anchor: int = ANCHOR, window: int = MIN_WORDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,10 +80,52 @@ def recompress(symbols: np.ndarray, owner: np.ndarray, anchor: int = ANCHOR, win
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))  # type: ignore[return-value]
 
 
-def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text) to (symbol, doc_id, first, n)."""
+class Known:
+    """Values that a task knows to be shared, each with the least and the greatest document of the slice that told."""
+
+    def __init__(self, hot: int = HOT) -> None:
+        self.hot, self.values, self.low, self.high = hot, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def split(self, values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which rows are known to be shared, another document for each of them, values and documents of rows that stand for them elsewhere)."""
+        if not len(values):
+            return np.zeros(0, bool), docs, values, docs
+        order = np.lexsort((docs, values))
+        v, d = values[order], docs[order]
+        new = np.concatenate([[True], v[1:] != v[:-1]])
+        start = np.flatnonzero(new)
+        count = np.add.reduceat((new | np.concatenate([[True], d[1:] != d[:-1]])).astype(np.int64), start)
+        fresh = (count >= self.hot) & ~np.isin(v[start], self.values)
+        told, low, high = v[start][fresh], d[start][fresh], d[np.append(start[1:], len(v)) - 1][fresh]
+        if len(told):
+            both = np.concatenate([self.values, told])
+            order = np.argsort(both)
+            self.values, self.low, self.high = both[order], np.concatenate([self.low, low])[order], np.concatenate([self.high, high])[order]
+        if not len(self.values):
+            return np.zeros(len(values), bool), docs, told, low
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        return self.values[at] == values, np.where(docs == self.low[at], self.high[at], self.low[at]), np.concatenate([told, told]), np.concatenate([low, high])
+
+
+def _emitted(known: Known, values: np.ndarray, docs: np.ndarray, first: np.ndarray, more: np.ndarray, standing: int) -> list[pa.Array]:
+    """(value, doc_id, first, more, other) of a slice's rows, `other` null where it isn't known yet; rows that only stand for others have first -1. more: a further number of each row, given back for rows that stand for others by value if standing."""
+    shared_, other, values2, docs2 = known.split(values, docs)
+    if standing and len(values2):
+        order = np.argsort(values)
+        more2 = more[order[np.searchsorted(values, values2, sorter=order)]]
+    else:
+        more2 = np.zeros(len(values2), more.dtype)
+    return [
+        pa.array(np.concatenate([values, values2]).view(np.int64)), pa.array(np.concatenate([docs, docs2])), pa.array(np.concatenate([first, np.full(len(values2), -1)]).astype(np.int32)), pa.array(np.concatenate([more, more2]).astype(np.int32)),
+        pa.array(np.concatenate([other, docs2]), mask=np.concatenate([~shared_, np.ones(len(values2), bool)])),
+    ]
+
+
+def anchors(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
+    """docs(doc_id, text) to (symbol, doc_id, first, n, other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(hot)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
@@ -88,15 +135,16 @@ def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 symbols, at, size = recompress(words.hash, own, window=min_words)
                 keep = words.counts[own[at]] >= min_words
                 symbols, at, size = symbols[keep], at[keep], size[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(symbols.view(np.int64)), pa.array(ids[lo:hi][own[at]]), pa.array((at - words.first[own[at]]).astype(np.int32)), pa.array(size.astype(np.int32))], ["symbol", "doc_id", "first", "n"])
+                yield pa.RecordBatch.from_arrays(_emitted(known, symbols, ids[lo:hi][own[at]], at - words.first[own[at]], size, 0), ["symbol", "doc_id", "first", "n", "other"])
 
-    return docs.mapInArrow(run, "symbol bigint, doc_id bigint, first int, n int")
+    return docs.mapInArrow(run, "symbol bigint, doc_id bigint, first int, n int, other bigint")
 
 
-def windows(marked: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """marked(doc_id, text, firsts, sizes) of shared anchors to (hash, doc_id, first) of every window that holds one."""
+def windows(marked: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
+    """marked(doc_id, text, firsts, sizes) of shared anchors to (hash, doc_id, first, check, other) of every window that holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(hot)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
@@ -119,22 +167,24 @@ def windows(marked: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 np.add.at(step, end[good] + 1, -1)
                 at = np.flatnonzero(np.cumsum(step[:n]) > 0)
                 hashes = spans(prefixes(words.hash), at, at + min_words)
+                check = (spans(prefixes(mix(words.hash ^ U(0x2545F4914F6CDD1D))), at, at + min_words) >> U(32)).astype(np.uint32).view(np.int32)
                 who = np.searchsorted(words.first, at, "right") - 1
                 for i in range(0, max(len(at), 1), 200_000):
                     p = slice(i, i + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[p].view(np.int64)), pa.array(ids[lo:hi][who[p]]), pa.array((at[p] - words.first[who[p]]).astype(np.int32))], ["hash", "doc_id", "first"])
+                    yield pa.RecordBatch.from_arrays(_emitted(known, hashes[p], ids[lo:hi][who[p]], at[p] - words.first[who[p]], check[p], 1), ["hash", "doc_id", "first", "check", "other"])
 
-    return marked.mapInArrow(run, "hash bigint, doc_id bigint, first int")
+    return marked.mapInArrow(run, "hash bigint, doc_id bigint, first int, check int, other bigint")
 
 
-def shared(rows: DataFrame, by: str) -> DataFrame:
-    """The rows whose value in `by` occurs in two doc_ids, with `other`: the least doc_id that has it, or the greatest for that one itself. One shuffle; groups of any size stream."""
-    w = Window.partitionBy(by)
-    both = rows.withColumn("_low", F.min("doc_id").over(w)).withColumn("_high", F.max("doc_id").over(w)).where("_low <> _high")
-    return both.withColumn("other", F.when(F.col("doc_id") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).drop("_low", "_high")
+def shared(rows: DataFrame, by: str, *more: str) -> DataFrame:
+    """The rows whose value in `by` occurs in two doc_ids, with `other`: the least doc_id that has it, or the greatest for the least itself; where rows tell another already, that one. One shuffle; groups stream."""
+    told = F.col("other").isNotNull()
+    w = Window.partitionBy(told, F.when(told, F.xxhash64(by, "doc_id", "first")).otherwise(F.col(by)), *[F.when(~told, F.col(x)) for x in more])
+    both = rows.withColumn("_low", F.min("doc_id").over(w)).withColumn("_high", F.max("doc_id").over(w)).where(told | ((F.col("_low") != F.col("_high")) & (F.col("first") >= 0)))
+    return both.withColumn("other", F.coalesce("other", F.when(F.col("doc_id") == F.col("_low"), F.col("_high")).otherwise(F.col("_low")))).drop("_low", "_high")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, first_word, n_words, other_doc_id): each passage of a document that is repeated in others, one of which is named."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND length(text) > 0").withColumn("h", F.unhex(F.md5("text")))
     # One document stands for all with its text.
@@ -142,10 +192,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     w = Window.partitionBy("h")
     keys = cut(keys.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)))
     copies = keys.where("low <> high").select("doc_id", F.lit(0).alias("first_word"), "n_words", F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other_doc_id"))
-    found = shared(anchors(rows.select("doc_id", "text"), min_words), "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("a"))
+    found = shared(anchors(rows.select("doc_id", "text"), min_words, hot), "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("a"))
     found = found.join(keys.where("doc_id = low").select("doc_id", "h"), "doc_id")
     marked = rows.hint("merge").join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "text", F.col("a.first").alias("firsts"), F.col("a.n").alias("sizes"))
-    same = shared(windows(marked, min_words), "hash")
+    same = shared(windows(marked, min_words, hot), "hash", "check")
     order = Window.partitionBy("doc_id").orderBy("first")
     same = same.groupBy("doc_id", "first").agg(F.min("other").alias("other"))
     parts = same.withColumn("new", F.coalesce(F.col("first") - F.lag("first").over(order) > min_words, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(order))

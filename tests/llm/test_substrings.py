@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from strandix.llm.substrings import repeats
+import numpy as np
+
+from strandix.llm.substrings import Known, anchors, repeats
 
 
 def brute(docs, n=50):
@@ -44,6 +46,7 @@ def test_spans_against_brute_force(spark):
     docs += [(200, docs[3][1]), (201, docs[4][1]), (202, docs[4][1] + " tail"), (203, " ".join(["la"] * 400)), (204, " ".join(text(30) + ["la"] * 77 + text(10)))]
     frame = spark.createDataFrame([(d, t, "s", 1) for d, t in docs], "doc_id long, text string, symbol string, first int").repartition(4)
     got, want = covered(repeats(frame).collect()), brute(docs)
+    assert got == covered(repeats(frame, hot=2).collect())
     assert all(p <= want.get(d, set()) for d, p in got.items())
     assert set(want) == set(got)
     assert sum(map(len, got.values())) >= 0.98 * sum(map(len, want.values())) > 5000
@@ -60,3 +63,26 @@ def test_cases(spark):
     got = sorted(tuple(r) for r in repeats(more).collect())
     assert got == [(1, 0, 60, 8), (7, 1, 60, 1), (8, 0, 60, 1)]
     assert repeats(frame.where("false")).count() == 0
+
+
+def test_a_passage_in_most_documents(spark):
+    """Most rows of its anchors and windows stay out of the grouping, and all documents that have it are found."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    p = [word() for _ in range(70)]
+    docs = [(i, " ".join([*(word() for _ in range(rng.randint(0, 60))), *(p if i % 3 else []), *(word() for _ in range(rng.randint(0, 60)))])) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = anchors(frame).collect()
+    assert len([r for r in found if r.other is not None]) > 400 and len([r for r in found if r.first < 0]) <= 2 * 3 * 15
+    got = covered(repeats(frame).collect())
+    assert got == brute(docs) and len(got) == 266
+
+
+def test_known():
+    k = Known(3)
+    values, docs = np.array([5, 5, 5, 5, 9, 9, 7], np.uint64), np.array([1, 2, 2, 4, 1, 2, 3])
+    known, other, v, d = k.split(values, docs)
+    assert known.tolist() == [True] * 4 + [False] * 3 and other[:4].tolist() == [4, 1, 1, 1] and sorted(zip(v.tolist(), d.tolist())) == [(5, 1), (5, 4)]
+    known, other, v, d = k.split(np.array([5, 9], np.uint64), np.array([1, 3]))
+    assert known.tolist() == [True, False] and other[0] == 4 and len(v) == 0
+    assert [len(x) for x in k.split(np.zeros(0, np.uint64), np.zeros(0, np.int64))] == [0] * 4
