@@ -75,3 +75,33 @@ def test_stages_against_brute_force(spark, tmp_path):
     for shard in corpus_pipeline.run(spark, d).collect():
         got += [(i, x.tobytes()) for i, x in zip(shard.doc_ids, open_documents(shard.file, range(shard.n_docs)))]
     assert sorted(got) == sorted((r[0], ids(r[1])) for r in rows[4])
+
+
+def test_repeated_ids_extra_columns_and_nothing(spark, tmp_path):
+    """Rows of one doc_id with other texts are judged by their own text at each stage; columns that clash with the operators' own go along."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["tha", "en", "ing", "or", "ish"]) for _ in range(rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    item, twin = text(20), text(90)
+    rows = [(i, text(90), "en", "s") for i in range(30)]
+    rows += [(0, twin, "en", "s"), (1, twin, "en", "s"), (2, text(40) + " " + item, "en", "s"), (None, item, "en", "s"), (None, text(90), None, None), (3, None, "en", "s"), (4, "", None, "s"), (5, rows[5][1], "en", "s")]
+    clash = ["_gone", "_dirty", "_mix_copies", "h", "id", "keep", "_n", "_0", "kept"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in clash)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *[i] * len(clash)) for i, r in enumerate(rows)], schema).repartition(3)
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs.write.parquet(f"{d}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    whole = spark.read.parquet(f"{d}/documents.parquet")
+    once = stages["near_duplicates"](spark, whole, d)
+    # Of the twins the row of doc_id 0 stays; the other texts of 0 and 1 do, too, and so do both copies of one row.
+    assert sorted(r.h for r in once.collect()) == [i for i in range(38) if i != 31]
+    clean = stages["decontamination"](spark, once, d)
+    assert sorted(r.h for r in clean.collect()) == [i for i in range(38) if i not in (31, 32, 33)]
+    for frame in (once, clean, stages["mixture"](spark, clean, d), stages["quality"](spark, whole, d)):
+        assert frame.columns == whole.columns
+    docs = whole.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, d)
+        assert docs.count() == 0, name
