@@ -51,6 +51,15 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def discard(path: str) -> None:
+    """Deletes a folder of scratch that nothing reads any more."""
+    files, root = filesystem(path)
+    try:
+        files.delete_dir(root)
+    except FileNotFoundError:
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder; the plan above starts from reliable files."""
     sc = df.sparkSession.sparkContext

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandix.llm.common import U, Words, cut, filesystem, mix, scratch, slices, table, utf8, without
+from strandix.llm.common import U, Words, cut, discard, filesystem, mix, scratch, slices, table, utf8, without
 from strandix.llm.components import components
 
 RADIUS = 36
@@ -389,6 +389,8 @@ def classes(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, sha
         if right >= LEAST_RECALL * there or beam >= 1024:
             break
         beam *= 2
+    for folder in {file.rpartition("/")[0] for _, file in files}:
+        discard(folder)
     found = marks.where("a <> b")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND length(text) > 0").withColumn("h", F.unhex(F.md5("text")))
 

@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandix.llm import bpe
-from strandix.llm.common import cut, filesystem, scratch, table
+from strandix.llm.common import cut, discard, filesystem, scratch, table
 
 BLOCK_BYTES = 4 << 20
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = bpe.TOKENIZER) -> DataFrame:
-    """One flat file per task under `path`, and their manifest (file, n_bytes, doc_ids in order), written as a table.
+    """One flat file per task under `path`/files, and their manifest (file, n_bytes, doc_ids in order), written as a table.
 
     A file's name is unique to the attempt that writes it and only the manifest of committed tasks names it, so files of lost or
     repeated attempts are never read.
@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = bpe.TOKENIZER
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = bpe.encoder(tokenizer), np.array([bpe.END_OF_DOCUMENT], "<u2").tobytes()
-        files, root = filesystem(path)
+        files, root = filesystem(f"{path}/files")
         files.create_dir(root, recursive=True)
         name, ids, size = f"{uuid.uuid4().hex}.bin", [], 0
         with files.open_output_stream(f"{root}/{name}", compression=None) as out:
@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = bpe.TOKENIZER
                 for text in batch.column(1):
                     size += out.write(encode(text.as_py()) + end)
         if ids:
-            yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "n_bytes": [size], "doc_ids": [ids]}, schema=pa.schema([("file", pa.string()), ("n_bytes", pa.int64()), ("doc_ids", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict({"file": [f"{path}/files/{name}"], "n_bytes": [size], "doc_ids": [ids]}, schema=pa.schema([("file", pa.string()), ("n_bytes", pa.int64()), ("doc_ids", pa.list_(pa.int64()))]))
         else:
             files.delete_file(f"{root}/{name}")
 
@@ -97,8 +97,11 @@ def scan_token_files(files: DataFrame, end: int = bpe.END_OF_DOCUMENT, block_byt
 
 def token_counts(docs: DataFrame, tokenizer: str = bpe.TOKENIZER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens) for every row: the texts are written as flat token files, those are scanned, and ordinals lead back to doc_ids."""
-    manifest = write_token_files(docs, scratch(docs.sparkSession, "tokens"), tokenizer)
+    path = scratch(docs.sparkSession, "tokens")
+    manifest = write_token_files(docs, path, tokenizer)
     scanned = scan_token_files(manifest, block_bytes=block_bytes)
+    # What was found in them is written by now; the manifest is read on.
+    discard(f"{path}/files")
     ids = manifest.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
     # Both sides grow with the documents, and the manifest's small files hide it: never by broadcast.
     return scanned.join(ids.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
