@@ -48,9 +48,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 4 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_the_rest_works_alone(tmp_path):
-    for x in ("__spark_entry__.py", "strandix"):
-        (shutil.copytree if (ROOT / x).is_dir() else shutil.copy)(ROOT / x, tmp_path / x)
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_the_rest_works_alone(tmp_path, pipeline):
+    for x in ("__spark_entry__.py", "strandix", *(["corpus_pipeline.py"] if pipeline else [])):
+        if (ROOT / x).exists():
+            (shutil.copytree if (ROOT / x).is_dir() else shutil.copy)(ROOT / x, tmp_path / x)
     shutil.rmtree(tmp_path / "strandix/llm", ignore_errors=True)
     run = "import __spark_entry__ as e; print(len(e.queries()), sorted(k for k in e.queries() if k.startswith('op') or k == 'pipeline'))"
     out = subprocess.run([sys.executable, "-B", "-c", run], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
