@@ -6,7 +6,7 @@ they stand for, so they are global: every task names alike without an exchange,
 ends. A symbol that spans ANCHOR words or more takes no part in further rounds; it is an anchor.
 
 Spark then groups the anchors: one that occurs in two documents is shared. Every window of MIN_WORDS words that holds a shared anchor is a
-candidate; windows are grouped by 96 bits of two hashes of their words, which verifies them: a window that occurs in two documents is a repeat, and a
+candidate; windows are grouped by 95 bits of two hashes of their words, which verifies them: a window that occurs in two documents is a repeat, and a
 document's overlapping repeats are merged to spans. So each span is a union of windows each of which occurs in another document too.
 
 What HOT documents of one slice share is known there to be shared. Its rows in that task aren't grouped then; two of its documents stand for them where
@@ -108,16 +108,22 @@ class Known:
 
 
 def _emitted(known: Known, values: np.ndarray, docs: np.ndarray, first: np.ndarray, more: np.ndarray, standing: int) -> list[pa.Array]:
-    """(value, doc_id, first, more, other) of a slice's rows, `other` null where it isn't known yet; rows that only stand for others have first -1. more: a further number of each row, given back for rows that stand for others by value if standing."""
-    shared_, other, values2, docs2 = known.split(values, docs)
+    """(key, doc_id, first, more, other) of a slice's rows.
+
+    A row that is known to be shared has an odd key of its own and `other`; all others have the value with its lowest bit cleared, by which they are
+    grouped. Rows that only stand for others have first -1. more: a further number of each row, which those have by value too if `standing`.
+    """
+    told, other, values2, docs2 = known.split(values, docs)
     if standing and len(values2):
         order = np.argsort(values)
         more2 = more[order[np.searchsorted(values, values2, sorter=order)]]
     else:
         more2 = np.zeros(len(values2), more.dtype)
+    own = mix(values + docs.view(U) * U(0x9E3779B97F4A7C15) + first.astype(U)) | U(1)
+    key = np.where(told, own, values & ~U(1))
     return [
-        pa.array(np.concatenate([values, values2]).view(np.int64)), pa.array(np.concatenate([docs, docs2])), pa.array(np.concatenate([first, np.full(len(values2), -1)]).astype(np.int32)), pa.array(np.concatenate([more, more2]).astype(np.int32)),
-        pa.array(np.concatenate([other, docs2]), mask=np.concatenate([~shared_, np.ones(len(values2), bool)])),
+        pa.array(np.concatenate([key, values2 & ~U(1)]).view(np.int64)), pa.array(np.concatenate([docs, docs2])), pa.array(np.concatenate([first, np.full(len(values2), -1)]).astype(np.int32)), pa.array(np.concatenate([more, more2]).astype(np.int32)),
+        pa.array(np.concatenate([other, docs2]), mask=np.concatenate([~told, np.ones(len(values2), bool)])),
     ]
 
 
@@ -176,11 +182,10 @@ def windows(marked: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> Da
     return marked.mapInArrow(run, "hash bigint, doc_id bigint, first int, check int, other bigint")
 
 
-def shared(rows: DataFrame, by: str, *more: str) -> DataFrame:
+def shared(rows: DataFrame, *by: str) -> DataFrame:
     """The rows whose value in `by` occurs in two doc_ids, with `other`: the least doc_id that has it, or the greatest for the least itself; where rows tell another already, that one. One shuffle; groups stream."""
-    told = F.col("other").isNotNull()
-    w = Window.partitionBy(told, F.when(told, F.xxhash64(by, "doc_id", "first")).otherwise(F.col(by)), *[F.when(~told, F.col(x)) for x in more])
-    both = rows.withColumn("_low", F.min("doc_id").over(w)).withColumn("_high", F.max("doc_id").over(w)).where(told | ((F.col("_low") != F.col("_high")) & (F.col("first") >= 0)))
+    w = Window.partitionBy(*by)
+    both = rows.withColumn("_low", F.min("doc_id").over(w)).withColumn("_high", F.max("doc_id").over(w)).where("other IS NOT NULL OR (_low <> _high AND first >= 0)")
     return both.withColumn("other", F.coalesce("other", F.when(F.col("doc_id") == F.col("_low"), F.col("_high")).otherwise(F.col("_low")))).drop("_low", "_high")
 
 
