@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Every Unicode white space, line ends and the byte order mark.
-WHITE = "\t\n\v\f\r                  　﻿"
-_HEADING = re.compile(rf"(#{{1,6}})[{WHITE}]+([^\n\r  ]*)")
+WHITE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_HEADING = re.compile(rf"(#{{1,6}})[{WHITE}]+([^\n\r\u2028\u2029]*)")
 _BLANK = re.compile(r"\n{2,}")
 
 PIECES = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string())]))
