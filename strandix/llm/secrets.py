@@ -157,7 +157,7 @@ class Automaton:
         number = {q: i for i, q in enumerate(red)}
         self.to = np.full((n + 1, 257), n, np.int32)  # state n: no path
         self.p_stop = np.full(n + 1, -np.inf)
-        self.p_char = np.full((n + 1, 257, 256), -np.inf, np.float32) if n < 200 else None
+        self.p_char = np.full((n + 1, 2, 256), -np.inf, np.float32) if n < 200 else None  # by state, whether the symbol is the class, and character
         if self.p_char is None:
             raise ValueError("the examples don't generalise: too many states")
         for q, i in number.items():
@@ -167,11 +167,11 @@ class Automaton:
                 self.to[i, s] = number[to]
                 n_edge = self._edge(q, s)
                 if s < _CLASS:
-                    self.p_char[i, s, s] = math.log(n_edge / self.count[q])
+                    self.p_char[i, 0, s] = math.log(n_edge / self.count[q])
                     continue
                 # A character not seen on this edge is as if seen a hundredth of a time.
                 for c in _ALNUM:
-                    self.p_char[i, s, c] = math.log(n_edge / self.count[q] * (self.chars[q][s][c] + 0.01) / (n_edge + 0.62))
+                    self.p_char[i, 1, c] = math.log(n_edge / self.count[q] * (self.chars[q][s][c] + 0.01) / (n_edge + 0.62))
         self.longest = self._longest()
 
     def _longest(self) -> int | None:
@@ -211,7 +211,7 @@ class Automaton:
                 break
             c = buf[start[alive] + i].astype(np.int64)
             s = c if i < self.prefix else np.where(is_class[c], _CLASS, c)
-            total[alive] += self.p_char[state[alive], s, c]
+            total[alive] += self.p_char[state[alive], np.asarray(s == _CLASS, np.int64), c]
             state[alive] = self.to[state[alive], s]
             alive = alive[state[alive] != dead]
         return out
@@ -235,7 +235,7 @@ class Automaton:
             if not len(alive):
                 break
             s = c if i < self.prefix else np.where(is_class[c], _CLASS, c)
-            total[alive] += self.p_char[state[alive], s, c]
+            total[alive] += self.p_char[state[alive], np.asarray(s == _CLASS, np.int64), c]
             state[alive] = self.to[state[alive], s]
             alive = alive[state[alive] != dead]
         return to, scores

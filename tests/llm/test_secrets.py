@@ -15,7 +15,7 @@ def plain(a, text):
         s = a.symbol(c, i)
         if s > 255 and not chr(c).isalnum():
             return -math.inf
-        total += float(a.p_char[q, s, c])
+        total += float(a.p_char[q, int(s > 255), c])
         q = int(a.to[q, s])
         if q == len(a.to) - 1:
             return -math.inf
