@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from strandix.llm.quality import ORDER, _fold, accept, classify, fit
+from strandix.llm.quality import ORDER, _fold, accept, classify, fit, quantiles
 
 
 def kneser_ney(texts):
@@ -98,3 +98,24 @@ def test_one_trusted_outlier_does_not_set_the_limit(spark):
     bad = [i for i, *_ in rows if i % 8 == 0]
     assert not any(out[i].keep for i in [*bad, odd]) and sum(r.keep for r in out.values()) >= 0.97 * (len(rows) - len(bad))
     assert {i: r.keep for i, r in out.items()} == {r.doc_id: r.keep for r in classify(docs, labels, most_broadcast=1000).collect()}
+
+
+def test_more_trusted_documents_than_go_out_at_once_are_all_in_the_model(spark):
+    rows, marks = corpus()
+    docs = spark.createDataFrame([*rows, (None, rows[1][1], "en", "s")], "doc_id long, text string, lang string, s string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    score, trusted = fit(docs, labels, most_trusted=9)
+    held = {r.doc_id: r.held_out for r in trusted.collect()}
+    plain = kneser_ney([t for i, t, *_ in rows if held.get(i) is False])
+    got = {r.doc_id: r._perplexity for r in score(docs).collect()}
+    assert len(held) == 40 and all(math.isclose(got[i], plain(t), rel_tol=1e-4) for i, t, *_ in rows)
+    whole, parts = ({r.doc_id: (r.keep, round(r.threshold, 6)) for r in classify(docs, labels, most_trusted=n).collect()} for n in (10**6, 9))
+    assert whole == parts and len(whole) == 81
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(9)
+    groups = {"en": np.exp(rng.normal(1.5, 1e-5, 30_000)), None: np.round(rng.random(999) + 1, 2), "fr": np.array([7.5])}
+    frame = spark.createDataFrame([("own", g, float(x)) for g, xs in groups.items() for x in xs], "what string, g string, x double").repartition(3)
+    got = {r.g: r.x for r in quantiles(frame, 0.99).collect()}
+    assert got == {g: np.sort(xs)[math.ceil(0.99 * len(xs)) - 1] for g, xs in groups.items()}
