@@ -10,7 +10,9 @@
    a shard even for the widest beam is crowded.
 4. Pairs within the radius are candidates. They are verified by the exact Jaccard similarity of sets of hashed word triples, first each node with its
    nearest partners; a pair whose ends are in one group by then needs no verification, as it can't change the groups; the others are verified next.
-   A pair that no beam held has two crowded ends: crowded nodes of different groups are compared exactly, in blocks, so partners have no cap.
+   A pair that no beam held has two crowded ends: crowded nodes of different groups are compared exactly, in blocks, so partners have no cap. A block has
+   the sets of its nodes, verifies there and unions as it goes, so what leaves it is a forest of groups and never the pairs of a crowd, which grow with
+   the square of its size. Most pairs fail by a bound on the intersection from parity sketches, which loses none that would pass.
 5. Verified edges are unioned into connected components; of a group the least doc_id, then the least text hash, is kept.
 
 Recall is audited by exact search of AUDITED queries among all nodes; where it is below LEAST_RECALL all beams are doubled and the search is repeated.
@@ -312,7 +314,7 @@ def candidates(nodes: DataFrame, n: int, radius: int = RADIUS, shard: int = SHAR
 
 
 def crossings(crowded: DataFrame, n: int, radius: int = RADIUS, block: int = 1 << 14) -> DataFrame:
-    """crowded(id, f0, f1, label), n rows, to all pairs (a, b) of them within the radius whose labels differ, by exact search of blocks against blocks."""
+    """crowded(id, f0, f1, label), n rows, to all pairs (a, b) of them within the radius whose labels differ, by exact search of blocks against blocks: the plain form of ``crowd_bridges``, which tests hold it against."""
     blocks = -(-n // block)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -331,6 +333,66 @@ def crossings(crowded: DataFrame, n: int, radius: int = RADIUS, block: int = 1 <
     return cells.groupBy("i", "j").applyInPandas(pairs, "a bigint, b bigint").distinct()
 
 
+SKETCH = 1024
+
+
+def sketches(sets: list[bytes]) -> np.ndarray:
+    """Of each set of 32-bit hashes, SKETCH parities of how many fall in each slot: two sets differ in at least as many elements as their parities do."""
+    out = np.zeros((len(sets), SKETCH // 64), U)
+    for i in range(0, len(sets), 2048):
+        part = sets[i : i + 2048]
+        slot = np.frombuffer(b"".join(part), np.uint32).astype(np.int64) % SKETCH
+        own = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part])
+        odd = np.bincount(own * SKETCH + slot, minlength=len(part) * SKETCH).reshape(len(part), SKETCH) & 1
+        out[i : i + 2048] = np.packbits(odd.astype(bool), axis=1).view(U)
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray, jaccard: float) -> bool:
+    """Whether two sets, sorted, have at least this similarity."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= jaccard * (len(both) - shared)
+
+
+def merge(fp: np.ndarray, sets: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, jaccard: float) -> list[tuple[int, int]]:
+    """Pairs of labels that join all labels which pairs of a node of `left` and one of `right`, within the radius and of this similarity, connect."""
+    names, group = np.unique(label, return_inverse=True)
+    root, out, odd, sizes = np.arange(len(names)), [], sketches(sets), np.array([len(x) // 4 for x in sets], np.int64)
+    for r, c in exact(fp[left], fp[right], radius):
+        r, c = left[r], right[c]
+        for i in range(0, len(r), 1 << 16):
+            a, b = r[i : i + (1 << 16)], c[i : i + (1 << 16)]
+            differ = root[group[a]] != root[group[b]]
+            a, b = a[differ], b[differ]
+            total = sizes[a] + sizes[b]
+            most = np.minimum((total - np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)) // 2, np.minimum(sizes[a], sizes[b]))
+            good = most >= jaccard * (total - most)
+            for x, y in zip(a[good].tolist(), b[good].tolist()):
+                p, q = root[group[x]], root[group[y]]
+                if p != q and alike(np.frombuffer(sets[x], np.uint32), np.frombuffer(sets[y], np.uint32), jaccard):
+                    root[root == q] = p
+                    out.append((int(label[x]), int(label[y])))
+    return out
+
+
+def crowd_bridges(crowded: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, block: int = 1 << 14, block_bytes: int = 1 << 25) -> DataFrame:
+    """crowded(id, f0, f1, label, set) to pairs (a, b) of labels that connect all labels which verified ``crossings`` connect."""
+    n, size = crowded.agg(F.count("*"), F.sum(F.length("set"))).first()
+    blocks = max(1, -(-n // block), -(-(size or 0) // block_bytes))
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf["k"].to_numpy()
+        left, right = np.flatnonzero(k == pdf["i"].iloc[0]), np.flatnonzero(k == pdf["j"].iloc[0])
+        out = merge(_array(pdf), pdf["set"].tolist(), pdf["label"].to_numpy(), left, right, radius, jaccard)
+        return pd.DataFrame({"a": np.array([x for x, _ in out], np.int64), "b": np.array([y for _, y in out], np.int64)})
+
+    numbered = crowded.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    cells = numbered.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("k", x).alias("i"), F.greatest("k", x).alias("j")))))
+    return cells.select("id", "f0", "f1", "label", "set", "k", "at.i", "at.j").groupBy("i", "j").applyInPandas(pairs, "a bigint, b bigint").distinct()
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(id, set): the sorted distinct 32-bit hashes of each text's word triples, as bytes.
 
@@ -361,13 +423,7 @@ def verify(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(shared >= jaccard * (len(both) - shared))
+            good = [alike(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), jaccard) for x, y in zip(batch.column(2), batch.column(3))]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -408,16 +464,22 @@ def classes(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD, sha
     nearest = cut(ends.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sets = sets_of(nearest)
     label = cut(components(cut(verify(nearest, sets, jaccard))))
-    la, lb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = found.select("a", "b").join(nearest, ["a", "b"], "left_anti")
     crowded = cut(marks.where("a = b").select(F.col("a").alias("id")).join(nodes, "id").join(label, "id", "left").select("id", "f0", "f1", F.coalesce("component", "id").alias("label")))
-    if n_crowded := crowded.count():
-        rest = rest.unionAll(crossings(crowded, n_crowded, radius)).distinct()
+    if not crowded.isEmpty():
+        sets = sets.unionAll(sets_of(crowded.select(F.col("id").alias("a"), F.col("id").alias("b")), sets))
+        joined = cut(components(cut(crowd_bridges(cut(crowded.join(sets, "id")), radius, jaccard))))
+        renamed = joined.select(F.col("id").alias("component"), F.col("component").alias("c2"))
+        label = cut(label.join(renamed, "component", "left").select("id", F.coalesce("c2", "component").alias("component")).unionAll(joined.join(label, "id", "left_anti")))
+        # Pairs of two crowded nodes are settled.
+        ka, kb = (crowded.select(F.col("id").alias(x), F.lit(True).alias(f"k{x}")) for x in "ab")
+        rest = rest.join(ka, "a", "left").join(kb, "b", "left").where("ka IS NULL OR kb IS NULL").select("a", "b")
+    la, lb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = cut(rest.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
     if rest.isEmpty():
         bridges = rest.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     else:
-        # Between groups of the first round, so that what is unioned again is small. An end that only `crossings` found may have no set yet.
+        # Between groups of the first round, so that what is unioned again is small. An end that isn't in `nearest` may have no set yet.
         good = verify(rest.select("a", "b"), sets.unionAll(sets_of(rest, sets)), jaccard)
         bridges = good.join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     over = components(bridges).select(F.col("id").alias("c1"), F.col("component").alias("c2"))

@@ -4,7 +4,8 @@ import numpy as np
 
 from strandix.llm.common import Words, utf8
 from strandix.llm.components import components
-from strandix.llm.simhash import JACCARD, Graph, audit, candidates, crossings, deduplicate, distance, exact, fingerprints, groups, simhash
+from strandix.llm import simhash as module
+from strandix.llm.simhash import JACCARD, Graph, alike, audit, candidates, crossings, crowd_bridges, deduplicate, distance, exact, fingerprints, groups, simhash
 
 
 def find(parent, x):
@@ -172,3 +173,40 @@ def test_a_node_that_only_a_crowd_finds_is_verified(spark, monkeypatch):
     monkeypatch.setattr("strandix.llm.simhash.candidates", found)
     got = {r.doc_id: r.kept for r in groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: 0 for i in range(1, 100)}
+
+
+def test_crowd_bridges_join_what_verified_crossings_join(spark):
+    rng = np.random.default_rng(7)
+    fp = np.repeat(rng.integers(0, 2**64, (3, 2), dtype=np.uint64), 50, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (150, 2), dtype=np.uint64))
+    base = [rng.integers(0, 2**32, 60, dtype=np.uint32) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[i % 6][: rng.integers(25, 61)], rng.integers(0, 2**32, rng.integers(5, 40), dtype=np.uint32)])) for i in range(150)]
+    label = [1000 + i // 2 for i in range(150)]
+    rows = [(i, int(a), int(b), label[i], bytearray(sets[i].tobytes())) for i, (a, b) in enumerate(fp.view(np.int64))]
+    frame = spark.createDataFrame(rows, "id long, f0 long, f1 long, label long, set binary").repartition(3)
+    d = distance(fp[:, None], fp[None])
+    edges = {(label[i], label[j]) for i in range(150) for j in range(i + 1, 150) if d[i, j] <= 36 and label[i] != label[j] and alike(sets[i], sets[j], JACCARD)}
+    assert len(edges) > 40
+
+    def least(pairs):
+        parent = {}
+        for a, b in pairs:
+            a, b = find(parent, a), find(parent, b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        return {x: find(parent, x) for x in label}
+
+    for block, size in ((1000, 1 << 25), (40, 1 << 25), (1000, 20_000)):
+        got = {tuple(r) for r in crowd_bridges(frame, block=block, block_bytes=size).collect()}
+        assert least(got) == least(edges) and (block < 1000 or size < 1 << 25 or len(got) < len(set(label)))
+
+
+def test_pairs_of_a_crowd_that_is_not_alike_are_not_exchanged(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    w = [word() for _ in range(24)]
+    texts = [" ".join([*w, *(word() for _ in range(14))]) for _ in range(600)]
+    seen, plain = [], module.verify
+    monkeypatch.setattr(module, "verify", lambda pairs, *a: (seen.append(pairs.count()), plain(pairs, *a))[1])
+    monkeypatch.setattr(module, "candidates", lambda nodes, *a: nodes.selectExpr("id AS a", "id AS b", "0 AS d"))
+    assert groups(spark.createDataFrame([*enumerate(texts), (600, texts[0] + " x")], "doc_id long, text string")).collect() == [(600, 0)]
+    assert sum(seen) <= 1200
