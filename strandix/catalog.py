@@ -217,7 +217,7 @@ def chunk_records(spark, d):
 
 @query("SELECT doc_id, sha1(lang || chr(10) || lang || chr(10) || text) AS hash, sha1(text) AS plain, length(lang || chr(10) || text)::INTEGER AS n FROM documents")
 def embedding_text_hash(spark, d):
-    build = lambda w: T.embedding_text(F.col("lang"), F.col("text"), w)
+    build = lambda w: T.headed(F.col("lang"), F.col("text"), w)
     return read(spark, d, "documents").select("doc_id", F.sha1(F.encode(build(2.8), "UTF-8")).alias("hash"), F.sha1(F.encode(build(0.5), "UTF-8")).alias("plain"), F.length(build(1)).alias("n"))
 
 

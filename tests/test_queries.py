@@ -44,6 +44,16 @@ def test_query(spark, duck, name):
         assert got == sorted(str([plain(r[names.index(c)]) for c in columns]) for r in cursor.fetchall())
 
 
+def test_embedding_text_hash_takes_texts_as_they_are(spark, tmp_path):
+    c = duckdb.connect()
+    ends = "('\t'), (chr(8232)), (chr(8239)), (chr(65279)), (chr(11)), (''), (NULL), ('x')"
+    c.execute(f"CREATE TABLE e AS SELECT * FROM (VALUES {ends}) t(e)")
+    c.execute("CREATE TABLE documents AS SELECT row_number() OVER () AS doc_id, a.e || 'one' || chr(10) || 'two' || b.e AS text, l.e AS lang FROM e a, e b, e l")
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    got = catalog.QUERIES["embedding_text_hash"](spark, str(tmp_path)).select("doc_id", "hash", "plain", "n").collect()
+    assert {tuple(r) for r in got} == {*c.execute(catalog.SQL["embedding_text_hash"]).fetchall()} and len(got) == 512
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 4 and set(entry.oracle_sql()) <= set(entry.queries())
 
