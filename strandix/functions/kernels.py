@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Every Unicode white space, line ends and the byte order mark.
 WHITE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Bytes of a part of a batch; a longer row is a part of its own.
+PART_BYTES = 1 << 20
 _HEADING = re.compile(rf"(#{{1,6}})[{WHITE}]+([^\n\r\u2028\u2029]*)")
 _BLANK = re.compile(r"\n{2,}")
 
@@ -174,6 +176,16 @@ def unpaired(lines: pa.Array) -> pa.Array:
     return lists_of(rows, len(lines), {"term": pa.array(terms, pa.string()), "count": pa.array(counts, pa.int32())}, pa.array(missing))
 
 
+def parts(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """Columns of one batch in runs of rows of `PART_BYTES` at most, in order, none copied."""
+    n = len(columns[0])
+    if n < 2 or sum(c.nbytes for c in columns) <= PART_BYTES:
+        yield columns
+    else:
+        for run in (slice(None, n // 2), slice(n // 2, None)):
+            yield from parts(tuple(c[run] for c in columns))
+
+
 def each(f: Callable, kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
     """A function of whole Arrow columns from one of single values; None stays None where f lets it."""
     return lambda column: pa.array([f(x) for x in column.to_pylist()], kind)
